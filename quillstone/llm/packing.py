@@ -6,7 +6,9 @@ import os
 import random
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,27 +25,94 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Ids(dict):
-    """Chunk of text without white space -> its ids as little-endian bytes. The vocabulary drops white space and
-    never joins across it, so a text's ids are those of its chunks in order. Holds at most ``most`` chunks."""
+#: ASCII marks; a run of them after letters is a token of its own to the vocabulary's splitter.
+MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
-    def __init__(self, path: str, most: int = 200_000):
+
+class Ids:
+    """Ids of texts as little-endian bytes, by chunks without white space: the vocabulary drops white space and never
+    joins across it, so a text's ids are those of its chunks in order.
+
+    A chunk of letters, or of letters and closing marks, is its letters' ids and the marks'; the letters that are
+    new in a group of texts are encoded in one call, and each ends at an id of the vocabulary that ends a word. Other
+    chunks are encoded one by one. The caches are bounded (a full one becomes the older of two, whose words in use
+    move on); a process keeps them from task to task.
+    """
+
+    def __init__(self, path: str, chunks: int = 300_000, words: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        ids = self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids
-        out = b"".join(i.to_bytes(4, "little") for i in ids)
-        if len(chunk) <= 64:
-            self[chunk] = out
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.chunks: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.most = (chunks, words)
+        self.marks: dict[bytes, bytes] = {}
+
+    def encoded(self, chunk: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def add_words(self, words: list[bytes]) -> None:
+        ids = np.array(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, "<u4")
+        stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(stops) != len(words):
+            self.words.update((w, self.encoded(w)) for w in words)
+            return
+        raw, start = ids.tobytes(), 0
+        for w, stop in zip(words, stops, strict=True):
+            self.words[w] = raw[start:stop]
+            start = stop
+
+    def of(self, texts: list[bytes | None]) -> list[bytes]:
+        if len(self.chunks) > self.most[0]:
+            self.chunks.clear()
+        if len(self.words) + len(self.marks) > self.most[1]:
+            self.words, self.older = {}, self.words
+            self.marks.clear()
+        split = [t.split() if t else [] for t in texts]
+        chunks, words, older, marks = self.chunks, self.words, self.older, self.marks
+        fresh, long = set().union(*split).difference(chunks), []
+        new = set()
+        for chunk in fresh:
+            word = chunk.rstrip(MARKS).lower()
+            if word not in words:
+                if word in older:
+                    words[word] = older[word]
+                elif word.isalpha() or self.is_word(word):
+                    new.add(word)
+        if new:
+            self.add_words(list(new))
+        for chunk in fresh:
+            word = chunk.rstrip(MARKS)
+            known, mark = words.get(word.lower()), chunk[len(word) :]
+            if known is None or len(mark) > 4:
+                chunks[chunk] = self.encoded(chunk)
+                if len(chunk) > 128:
+                    long.append(chunk)
+            elif not mark:
+                chunks[chunk] = known
+            else:
+                if mark not in marks:
+                    marks[mark] = self.encoded(mark)
+                chunks[chunk] = known + marks[mark]
+        out = [b"".join([chunks[c] for c in s]) for s in split]
+        for chunk in long:
+            del chunks[chunk]
         return out
 
-    def of(self, text: bytes | None) -> bytes:
-        if len(self) > self.most:
-            self.clear()
-        return b"".join([self[c] for c in text.split()]) if text else b""
+    @staticmethod
+    def is_word(word: bytes) -> bool:
+        """Whether a chunk with other than ASCII letters is letters only, and short enough to keep."""
+        return len(word) <= 128 and not word.isascii() and word.decode().isalpha()
+
+
+@cache
+def held_ids(path: str) -> Ids:
+    return Ids(path)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -51,13 +120,13 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(path)
+        ids = held_ids(path)
         for batch in batches:
-            for at in range(0, max(1, batch.num_rows), 256):
-                part = batch.slice(at, 256)
+            for at in range(0, max(1, batch.num_rows), 1024):
+                part = batch.slice(at, 1024)
                 take, rows = [], []
-                for i, text in enumerate(part.column("text").to_pylist()):
-                    held = ids.of(text) + END
+                for i, held in enumerate(ids.of(part.column("text").to_pylist())):
+                    held += END
                     n = len(held) // 4
                     for piece, start in enumerate(range(0, n, capacity)):
                         stop = min(start + capacity, n)
