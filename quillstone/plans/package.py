@@ -1,0 +1,64 @@
+"""Packages: evidence, archive reference, review rules, and compiling sections into a budget."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quillstone.functions import text as T
+from quillstone.operators import log as L
+
+#: Shapes of text that reads like an instruction.
+INSTRUCTIONS = (
+    r"ignore (all |any |the )?(previous|prior|above|earlier)",
+    r"disregard (all |any |the )?(previous|prior|above|earlier)",
+    r"\byou are now\b",
+    r"\bnew (system )?(instructions?|prompt)\b",
+    r"</?(system|instructions?)>",
+    r"\b(rm|del|drop)\s+(-rf?\s+|table\s+)",
+    r"\bcurl\b.{0,40}\|\s*(sh|bash)",
+)
+ORDER = ("goal", "constraint", "decision", "fact", "task")
+
+
+def evidence_links(items: DataFrame, log: DataFrame) -> DataFrame:
+    """items(id, source) with the position of their record; of a repeated record id the last counts, an unknown one gives null."""
+    places = log.groupBy(F.col("id").alias("source")).agg(F.max("seq").alias("seq"))
+    return items.join(places, "source", "left")
+
+
+def archive_reference(log: DataFrame) -> DataFrame:
+    """First and last position, records and a hash over the records' hashes in order of each session."""
+    chained = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "hash"))), lambda x: x["hash"]), ""), 256)
+    return log.groupBy("session_id").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count(F.lit(1)).alias("records"), chained.alias("hashes"))
+
+
+def review(items: DataFrame, longest: int = 20_000) -> DataFrame:
+    """Findings on items(id, content): instruction-shaped text (the first shape that fits) and oversized content."""
+    hit = F.coalesce(*[F.when(F.col("content").rlike(f"(?i){p}"), F.lit(i)) for i, p in enumerate(INSTRUCTIONS)])
+    shaped = items.withColumn("shape", hit).where("shape is not null").select("id", F.lit("instruction_like").alias("code"), "shape")
+    return shaped.unionByName(items.where(F.length("content") > longest).select("id", F.lit("oversized_item").alias("code"), F.lit(None).cast("int").alias("shape")))
+
+
+def state_section(items: DataFrame, budget: int) -> DataFrame:
+    """Active items of each session in order of type, as many first ones as fit with the heading of each type (one word)."""
+    rank = F.array_position(F.array(*[F.lit(t) for t in ORDER]), F.col("type"))
+    active = items.where("status = 'active'").withColumn("rank", rank)
+    from pyspark.sql import Window
+
+    opens = F.row_number().over(Window.partitionBy("session_id", "type").orderBy("created_at", "id")) == 1
+    costed = active.withColumn("cost", T.word_count(F.col("content")) + 1 + opens.cast("bigint"))
+    return L.prefix_fit(costed, "session_id", ["rank", "created_at", "id"], "cost", budget).select("session_id", "id", "type", "cost", "spent")
+
+
+def compile_context(items: DataFrame, log: DataFrame, task: str, budget: int, state_share: float = 0.6) -> DataFrame:
+    """Rows section, session_id, id, cost of a bounded context: the task is paid first, state takes at most its share, recent turns the rest."""
+    left = budget - len(task.split())
+    if left < 0:
+        raise ValueError("the task alone is larger than the budget")
+    cap = min(left, int(budget * state_share))
+    state = state_section(items, cap).select(F.lit("state").alias("section"), "session_id", "id", "cost")
+    spent = state.groupBy("session_id").agg(F.sum("cost").alias("used"))
+    order = L.recent_window(log, left)
+    recent = order.join(spent, "session_id", "left").where(F.col("spent") <= left - F.coalesce("used", F.lit(0))).select(F.lit("recent").alias("section"), "session_id", "id", "cost")
+    return state.unionByName(recent)

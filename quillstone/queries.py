@@ -1,0 +1,346 @@
+"""The engine's queries over the relational tables, each with the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillstone.functions import text as T
+from quillstone.operators import evaluation as E
+from quillstone.operators import log as L
+from quillstone.operators import state as S
+from quillstone.operators import thread as H
+from quillstone.operators.retrieval import search
+from quillstone.plans import package as P
+from quillstone.sources.tables import archive, results, state_items, table, thread
+from quillstone.streaming import incremental as I
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+ARCHIVE = "archive AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, turn AS seq, conv_id || '-' || turn AS id, role || '_message' AS kind, text AS payload, sha256(text) AS hash FROM conversations)"
+THREAD = f"{ARCHIVE}, thread AS (SELECT *, CASE WHEN seq IN (0, 5) THEN NULL WHEN seq % 3 = 0 THEN session_id || '-' || (seq - 2) ELSE session_id || '-' || (seq - 1) END AS parent_id FROM archive)"
+STATE = """state AS (SELECT CAST(event_id AS VARCHAR) AS id, CAST(user_id AS VARCHAR) AS session_id,
+ CASE event_type WHEN 'click' THEN 'fact' WHEN 'error' THEN 'constraint' WHEN 'purchase' THEN 'decision' WHEN 'signup' THEN 'goal' ELSE 'task' END AS type,
+ event_type || ' ' || props AS content, CASE WHEN event_id % 11 = 0 THEN 'rejected' WHEN event_id % 7 = 0 THEN 'superseded' ELSE 'active' END AS status,
+ CASE WHEN event_id % 13 = 0 THEN 'critical' WHEN event_id % 5 = 0 THEN 'ephemeral' ELSE 'durable' END AS retention,
+ CASE WHEN event_type = 'click' THEN json_extract_string(props, '$.k') END AS subject, ts AS created_at,
+ CASE WHEN value > 40 THEN CAST(lag(event_id) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS VARCHAR) END AS supersedes FROM events)"""
+RESULTS = """results AS (SELECT CAST(doc_id AS VARCHAR) AS scenario_id, lang AS strategy, CASE WHEN n_chars < 1000 THEN 160 WHEN n_chars < 4000 THEN 900 ELSE 2000 END AS budget,
+ CASE WHEN doc_id % 10 = 0 THEN 'model_error' ELSE 'success' END AS status, quality = 1 AS passed, CASE WHEN toxic = 1 THEN 'fabricated' WHEN quality = 1 THEN 'passed' ELSE 'omitted' END AS completion,
+ CASE WHEN quality = 1 THEN 'fact' ELSE 'constraint' END AS category, CAST(trunc(n_chars / 4) AS BIGINT) AS context_tokens, source AS model FROM documents JOIN labels USING (doc_id))"""
+WORDS = r"len(regexp_extract_all({}, '\S+'))"
+CURRENT = "current_items AS (SELECT * FROM state s WHERE status <> 'rejected' AND NOT EXISTS (SELECT 1 FROM state t WHERE t.supersedes = s.id))"
+LEVEL = "CASE WHEN retention = 'critical' THEN 'project' WHEN retention = 'ephemeral' THEN 'event' WHEN type IN ('goal', 'constraint', 'decision') THEN 'project' ELSE 'session' END"
+SEARCH_TERMS = ("est", "la", "thing", "reed", "12")
+QUERY = "what is the est of la thing reed 12"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _score_sql() -> str:
+    parts, found = [], []
+    for t in SEARCH_TERMS:
+        n = f"len(list_filter(toks, lambda x: x = '{t}'))"
+        weight = (1.0 + min(len(t), 12) / 6.0) * (2.0 if any(c.isdigit() for c in t) else 1.0)
+        parts.append(f"CASE WHEN {n} > 0 THEN CAST({weight!r} AS DOUBLE) * (1.0 + ln({n})) ELSE 0.0 END")
+        found.append(f"CAST({n} > 0 AS INT)")
+    return f"round(({' + '.join(parts)}) * (0.5 + ({' + '.join(found)}) / {float(len(SEARCH_TERMS))!r}), 9)"
+
+
+TOKS = r"list_transform(regexp_extract_all(payload, '[A-Za-z_]+|\d+(?:\.\d+)*'), lambda x: lower(x))"
+
+
+def _search_sql(where: str, limit: int) -> str:
+    first = "least(" + ", ".join(f"coalesce(nullif(instr(lower(payload), '{t}'), 0), 1000000000)" for t in SEARCH_TERMS) + ")"
+    return f"""WITH {ARCHIVE}, t AS (SELECT *, {TOKS} AS toks FROM archive WHERE payload <> '' {where}), s AS (SELECT session_id, seq, id, payload, {_score_sql()} AS score FROM t),
+ k AS (SELECT * FROM s WHERE score > 0 ORDER BY score DESC, seq, session_id LIMIT {limit}), f AS (SELECT *, CASE WHEN {first} = 1000000000 THEN 1 ELSE {first} END AS p FROM k), g AS (SELECT *, greatest(0, p - 81) AS st FROM f)
+ SELECT session_id, seq, id, score, CASE WHEN st > 0 THEN '… ' ELSE '' END || array_to_string(regexp_extract_all(substr(payload, CAST(st + 1 AS BIGINT), 240), '\\S+'), ' ') AS excerpt FROM g"""
+
+
+@query(_search_sql("", 20))
+def search_topk(spark, sf):
+    return search(archive(spark, sf), QUERY, 20)
+
+
+@query(_search_sql("AND kind = 'assistant_message' AND seq BETWEEN 1 AND 5", 10))
+def search_filtered(spark, sf):
+    return search(archive(spark, sf), QUERY, 10, ["assistant_message"], 1, 5)
+
+
+@query(f"WITH {ARCHIVE} SELECT session_id, seq, CAST(len({TOKS}) AS BIGINT) AS n_tokens, CAST(len(list_distinct({TOKS})) AS BIGINT) AS n_distinct FROM archive")
+def tokenize_counts(spark, sf):
+    own = T.tokens(F.col("payload"))
+    return archive(spark, sf).select("session_id", "seq", F.size(own).cast("bigint").alias("n_tokens"), F.size(F.array_distinct(own)).cast("bigint").alias("n_distinct"))
+
+
+@query(f"WITH {ARCHIVE} SELECT term, count(*) AS n FROM (SELECT unnest({TOKS}) AS term FROM archive) GROUP BY term")
+def term_frequency(spark, sf):
+    return archive(spark, sf).select(F.explode(T.tokens(F.col("payload"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {ARCHIVE} SELECT session_id, seq, id FROM archive WHERE seq >= 1 AND seq < 4")
+def archive_range(spark, sf):
+    return L.in_range(archive(spark, sf), 1, 4).select("session_id", "seq", "id")
+
+
+@query(f"WITH {ARCHIVE} SELECT session_id, seq, id FROM archive WHERE seq BETWEEN 2 AND 5")
+def archive_window(spark, sf):
+    return L.around(archive(spark, sf), 3, 1, 2).select("session_id", "seq", "id")
+
+
+@query(f"WITH {ARCHIVE} SELECT session_id, seq, id FROM archive a WHERE seq > (SELECT max(seq) FROM archive b WHERE b.session_id = a.session_id) - 3")
+def archive_tail(spark, sf):
+    return L.tail(archive(spark, sf), 3).select("session_id", "seq", "id")
+
+
+@query(f"WITH {ARCHIVE} SELECT session_id, seq, id FROM archive WHERE seq = 3 OR session_id = '7'")
+def archive_verify(spark, sf):
+    damaged = archive(spark, sf).withColumn("hash", F.when((F.col("seq") == 3) | (F.col("session_id") == "7"), F.sha2(F.concat("payload", F.lit("x")), 256)).otherwise(F.col("hash")))
+    return L.verify(damaged)
+
+
+@query(f"WITH {ARCHIVE} SELECT session_id, count(*) AS records, max(seq) + 1 AS next_seq, CAST(sum(strlen(payload)) AS BIGINT) AS bytes FROM archive GROUP BY session_id")
+def session_stats(spark, sf):
+    return L.session_sizes(archive(spark, sf))
+
+
+@query(f"WITH {ARCHIVE} SELECT kind, count(*) AS n, CAST(sum(ceil(length(payload) / 4.0)) AS BIGINT) AS char_tokens FROM archive GROUP BY kind")
+def event_type_counts(spark, sf):
+    return archive(spark, sf).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum(T.char_tokens(F.col("payload"))).alias("char_tokens"))
+
+
+@query(f"WITH {ARCHIVE} SELECT session_id, CAST(sum({WORDS.format('payload')} + 3) AS BIGINT) AS tokens FROM archive GROUP BY session_id")
+def conversation_tokens(spark, sf):
+    return archive(spark, sf).groupBy("session_id").agg(F.sum(T.word_count(F.col("payload")) + 3).alias("tokens"))
+
+
+@query(f"WITH {ARCHIVE}, c AS (SELECT *, {WORDS.format('payload')} + 3 AS cost FROM archive), r AS (SELECT *, sum(cost) OVER (PARTITION BY session_id ORDER BY seq DESC) AS spent FROM c) SELECT session_id, seq, CAST(cost AS BIGINT) AS cost, CAST(spent AS BIGINT) AS spent FROM r WHERE spent <= 200")
+def recent_window(spark, sf):
+    return L.recent_window(archive(spark, sf), 200).select("session_id", "seq", "cost", "spent")
+
+
+@query(
+    f"""WITH RECURSIVE {ARCHIVE}, z AS (SELECT session_id, seq, length(payload) AS size FROM archive),
+ w AS (SELECT session_id, seq, 0 AS win, size AS used FROM z WHERE seq = 0 UNION ALL SELECT z.session_id, z.seq, CASE WHEN w.used + z.size > 900 AND w.used > 0 THEN w.win + 1 ELSE w.win END, CASE WHEN w.used + z.size > 900 AND w.used > 0 THEN z.size ELSE w.used + z.size END FROM w JOIN z ON z.session_id = w.session_id AND z.seq = w.seq + 1)
+ SELECT session_id, seq, CAST(win AS BIGINT) AS "window" FROM w"""
+)
+def greedy_windows(spark, sf):
+    return L.greedy_windows(archive(spark, sf), F.length("payload"), 900)
+
+
+@query(f"WITH {THREAD} SELECT session_id, seq, CAST(sum(CASE WHEN parent_id IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY seq) AS BIGINT) AS segment FROM thread")
+def segments(spark, sf):
+    return L.segments(thread(spark, sf)).select("session_id", "seq", "segment")
+
+
+_LIVE = f"""WITH RECURSIVE {THREAD}, up AS (SELECT id, id AS cur, parent_id FROM thread UNION ALL SELECT u.id, t.id, t.parent_id FROM up u JOIN thread t ON t.id = u.parent_id), roots AS (SELECT id, cur AS root FROM up u WHERE NOT EXISTS (SELECT 1 FROM thread t WHERE t.id = u.parent_id)),
+ leaves AS (SELECT r.root, arg_max(t.id, t.seq) AS leaf FROM roots r JOIN thread t ON t.id = r.id GROUP BY r.root), live AS (SELECT DISTINCT u.cur AS id FROM leaves l JOIN up u ON u.id = l.leaf)"""
+
+
+@query(f"{_LIVE} SELECT session_id, seq, id FROM thread WHERE id IN (SELECT id FROM live)")
+def active_thread(spark, sf):
+    return H.live(thread(spark, sf)).select("session_id", "seq", "id")
+
+
+@query(f"{_LIVE} SELECT session_id, seq, id FROM thread WHERE id NOT IN (SELECT id FROM live)")
+def abandoned_events(spark, sf):
+    return H.abandoned(thread(spark, sf)).select("session_id", "seq", "id")
+
+
+@query("SELECT count(*) AS events, CAST(0 AS BIGINT) AS missing_ids, count(*) - count(DISTINCT conv_id || '-' || (turn // 2)) AS duplicates, CAST(0 AS BIGINT) AS missing_timestamps, count(*) FILTER (WHERE role = 'system') AS unknown_types, min(turn) AS first_seq, max(turn) AS last_seq FROM conversations")
+def import_counters(spark, sf):
+    c = table(spark, sf, "conversations")
+    return L.import_counters(c.select(F.concat_ws("-", "conv_id", F.expr("turn div 2")).alias("id"), F.when(F.col("role") == "system", "other").otherwise(F.col("role")).alias("kind"), F.lit(0).alias("timestamp"), F.col("turn").alias("seq")))
+
+
+@query("WITH x AS (SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN 'tool_call' ELSE 'tool_result' END AS kind, user_id AS call_id FROM events), y AS (SELECT *, lag(kind) OVER w AS b, lead(kind) OVER w AS a FROM x WINDOW w AS (PARTITION BY call_id ORDER BY event_id)) SELECT event_id AS position, kind, CASE WHEN kind = 'tool_result' THEN coalesce(b = 'tool_call', false) ELSE coalesce(a = 'tool_result', false) END AS matched FROM y")
+def tool_pairing(spark, sf):
+    e = table(spark, sf, "events")
+    calls = e.select(F.col("event_id").alias("position"), F.when(F.col("event_type").isin("click", "view"), "tool_call").otherwise("tool_result").alias("kind"), F.col("user_id").alias("call_id"))
+    return L.tool_pairs(calls).select("position", "kind", "matched")
+
+
+@query(f"WITH {STATE}, {CURRENT} SELECT id, session_id, type FROM current_items")
+def current_state(spark, sf):
+    return S.current(state_items(spark, sf)).select("id", "session_id", "type")
+
+
+@query(f"WITH {STATE} SELECT supersedes AS id, arg_min(id, created_at) AS successor FROM state WHERE supersedes IS NOT NULL GROUP BY supersedes")
+def superseded_by(spark, sf):
+    return S.successors(state_items(spark, sf))
+
+
+@query(
+    f"""WITH RECURSIVE {STATE}, nx AS (SELECT supersedes AS id, arg_min(id, created_at) AS succ FROM state WHERE supersedes IS NOT NULL GROUP BY supersedes),
+ c AS (SELECT id, id AS newest, CAST(0 AS BIGINT) AS steps FROM state UNION ALL SELECT c.id, nx.succ, c.steps + 1 FROM c JOIN nx ON nx.id = c.newest) SELECT id, arg_max(newest, steps) AS newest, max(steps) AS steps FROM c GROUP BY id"""
+)
+def supersession_chain(spark, sf):
+    return S.newest(state_items(spark, sf)).select("id", "newest", "steps")
+
+
+@query(f"WITH {STATE} SELECT session_id, type, lower(trim(content)) AS content, count(*) AS n, min(id) AS first_id FROM state WHERE status = 'active' GROUP BY ALL HAVING count(*) > 1")
+def duplicate_active(spark, sf):
+    return S.duplicate_active(state_items(spark, sf))
+
+
+@query(f"WITH {STATE} SELECT session_id, subject, contents, n FROM (SELECT '0' AS session_id, lower(trim(subject)) AS subject, count(DISTINCT lower(trim(content || session_id))) AS contents, count(*) AS n FROM state WHERE status = 'active' AND type = 'fact' AND trim(subject) <> '' GROUP BY 2) WHERE contents > 1")
+def contradictory_facts(spark, sf):
+    items = state_items(spark, sf)
+    return S.contradictory_facts(items.withColumn("content", F.concat("content", "session_id")).withColumn("session_id", F.lit("0")))
+
+
+@query(f"WITH {STATE}, x AS (SELECT CASE WHEN id LIKE '%3' THEN '100' ELSE supersedes END AS supersedes FROM state) SELECT supersedes, count(*) AS n FROM x WHERE supersedes IS NOT NULL GROUP BY supersedes HAVING count(*) > 1")
+def supersession_forks(spark, sf):
+    items = state_items(spark, sf)
+    return S.supersession_forks(items.withColumn("supersedes", F.when(F.col("id").like("%3"), "100").otherwise(F.col("supersedes"))))
+
+
+_HALVES = "ex AS (SELECT * FROM state WHERE CAST(id AS BIGINT) % 2 = 0), inc AS (SELECT *, CASE WHEN CAST(id AS BIGINT) % 5 = 1 THEN content WHEN CAST(id AS BIGINT) % 5 = 3 THEN 'nothing ' || id END AS claim FROM state WHERE CAST(id AS BIGINT) % 2 = 1)"
+
+
+@query(
+    f"""WITH {STATE}, {_HALVES}, known AS (SELECT session_id, type, lower(content) AS c, arg_max(id, (created_at, id)) AS stored FROM ex GROUP BY 1, 2, 3), arr AS (SELECT DISTINCT session_id, type, lower(content) AS c FROM inc)
+ SELECT i.session_id, i.id, CASE WHEN claim IS NOT NULL AND stored IS NOT NULL THEN 'supersedes' WHEN claim IS NOT NULL AND arr.c IS NOT NULL THEN 'added' WHEN claim IS NOT NULL THEN 'supersedes_missing' WHEN stored IS NOT NULL THEN 'unchanged' ELSE 'added' END AS action, stored AS target
+ FROM inc i LEFT JOIN known k ON k.session_id = i.session_id AND k.type = i.type AND k.c = lower(coalesce(claim, content)) LEFT JOIN arr ON arr.session_id = i.session_id AND arr.type = i.type AND arr.c = lower(coalesce(claim, content))"""
+)
+def reconcile_plan(spark, sf):
+    items, n = state_items(spark, sf), F.col("id").cast("bigint")
+    claim = F.when(n % 5 == 1, F.col("content")).when(n % 5 == 3, F.concat(F.lit("nothing "), "id"))
+    return S.reconcile(items.where(n % 2 == 0), items.where(n % 2 == 1).withColumn("claim", claim))
+
+
+@query(f"WITH {STATE} SELECT {LEVEL} AS level, type, count(*) AS n FROM state GROUP BY ALL")
+def place_levels(spark, sf):
+    return S.place(state_items(spark, sf)).groupBy("level", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"""WITH {STATE}, {CURRENT}, p AS (SELECT * FROM current_items WHERE CAST(session_id AS BIGINT) % 10 = 3 AND session_id <> '3' AND {LEVEL} = 'project' AND status = 'active'),
+ r AS (SELECT *, row_number() OVER (PARTITION BY type, lower(content) ORDER BY session_id, created_at, id) AS k FROM p) SELECT id, session_id, type, content FROM r WHERE k = 1"""
+)
+def carry_forward(spark, sf):
+    items = state_items(spark, sf).withColumn("project", (F.col("session_id").cast("bigint") % 10).cast("string"))
+    return S.carried_forward(items, "3", "3").select("id", "session_id", "type", "content")
+
+
+@query(f"WITH {STATE} SELECT CAST(CAST(session_id AS BIGINT) % 10 AS VARCHAR) AS project, count(DISTINCT session_id) AS sessions, count(*) AS items FROM state GROUP BY 1")
+def group_by_project(spark, sf):
+    return state_items(spark, sf).groupBy((F.col("session_id").cast("bigint") % 10).cast("string").alias("project")).agg(F.count_distinct("session_id").alias("sessions"), F.count(F.lit(1)).alias("items"))
+
+
+@query(f"WITH {STATE}, x AS (SELECT id, CASE WHEN id LIKE '%5' THEN 'gone-' || id ELSE supersedes END AS supersedes FROM state) SELECT id, supersedes FROM x WHERE supersedes IS NOT NULL AND NOT EXISTS (SELECT 1 FROM state s WHERE s.id = x.supersedes)")
+def dangling_references(spark, sf):
+    items = state_items(spark, sf)
+    return S.dangling(items.withColumn("supersedes", F.when(F.col("id").like("%5"), F.concat(F.lit("gone-"), "id")).otherwise(F.col("supersedes")))).select("id", "supersedes")
+
+
+@query(f"WITH {STATE}, x AS (SELECT id, session_id, CASE WHEN id LIKE '%9' THEN '0' ELSE supersedes END AS supersedes FROM state) SELECT x.id, x.session_id, s.session_id AS other_session FROM x JOIN state s ON s.id = x.supersedes WHERE s.session_id <> x.session_id")
+def cross_session_references(spark, sf):
+    items = state_items(spark, sf)
+    return S.cross_session(items.withColumn("supersedes", F.when(F.col("id").like("%9"), F.lit("0")).otherwise(F.col("supersedes")))).select("id", "session_id", "other_session")
+
+
+@query(f"WITH {STATE}, {ARCHIVE}, m AS (SELECT id, max(seq) AS seq FROM archive GROUP BY id) SELECT s.id, m.seq FROM state s LEFT JOIN m ON m.id = s.session_id || '-1'")
+def evidence_resolution(spark, sf):
+    items = state_items(spark, sf).select("id", F.concat("session_id", F.lit("-1")).alias("source"))
+    return P.evidence_links(items, archive(spark, sf)).select("id", "seq")
+
+
+@query(f"WITH {ARCHIVE} SELECT session_id, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS records, sha256(string_agg(hash, '' ORDER BY seq)) AS hashes FROM archive GROUP BY session_id")
+def archive_reference(spark, sf):
+    return P.archive_reference(archive(spark, sf))
+
+
+@query("SELECT id, code, CAST(shape AS INT) AS shape FROM (SELECT CAST(conv_id AS VARCHAR) || '-' || turn AS id, 'instruction_like' AS code, 4 AS shape FROM conversations WHERE role = 'system' UNION ALL SELECT CAST(doc_id AS VARCHAR), 'oversized_item', NULL FROM documents WHERE length(text) > 20000)")
+def security_review(spark, sf):
+    turns = archive(spark, sf).select("id", F.when(F.col("kind") == "system_message", F.concat(F.lit("<system> "), "payload")).otherwise(F.col("payload")).alias("content"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"))
+    return P.review(turns).unionByName(P.review(docs))
+
+
+@query(
+    f"""WITH {STATE}, a AS (SELECT *, CASE type WHEN 'goal' THEN 1 WHEN 'constraint' THEN 2 WHEN 'decision' THEN 3 WHEN 'fact' THEN 4 ELSE 5 END AS rk, row_number() OVER (PARTITION BY session_id, type ORDER BY created_at, id) AS k FROM state WHERE status = 'active'),
+ c AS (SELECT *, {WORDS.format('content')} + 1 + CAST(k = 1 AS INT) AS cost FROM a), r AS (SELECT *, sum(cost) OVER (PARTITION BY session_id ORDER BY rk, created_at, id ROWS UNBOUNDED PRECEDING) AS spent FROM c)
+ SELECT session_id, id, type, CAST(cost AS BIGINT) AS cost, CAST(spent AS BIGINT) AS spent FROM r WHERE spent <= 60"""
+)
+def state_prefix_fit(spark, sf):
+    return P.state_section(state_items(spark, sf), 60)
+
+
+@query(rf"WITH x AS (SELECT doc_id, text, regexp_extract_all(text, '\S+') AS w FROM documents) SELECT doc_id, md5(CASE WHEN len(w) <= 50 THEN text ELSE array_to_string(w[1:49], ' ') || ' […cut]' END) AS cut FROM x")
+def truncate_words(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(T.first_words(F.col("text"), 50, "[…cut]")).alias("cut"))
+
+
+@query(f"WITH {ARCHIVE} SELECT session_id, seq, contains(lower(payload), 'the') AND contains(lower(payload), 'an') AND NOT contains(lower(payload), 'qu') AS passed FROM archive")
+def retention_checks(spark, sf):
+    low = F.lower("payload")
+    every, none = F.array(F.lit("the"), F.lit("an")), F.array(F.lit("qu"))
+    return archive(spark, sf).select("session_id", "seq", (F.forall(every, lambda x: F.contains(low, x)) & ~F.exists(none, lambda x: F.contains(low, x))).alias("passed"))
+
+
+_SUMMARY = """count(*) AS runs, count(*) FILTER (WHERE status = 'success') AS succeeded, round(count(*) FILTER (WHERE status = 'success' AND passed) / CAST(nullif(count(*) FILTER (WHERE status = 'success'), 0) AS DOUBLE), 9) AS retention,
+ round(count(*) FILTER (WHERE status = 'success' AND completion = 'passed') / CAST(nullif(count(*) FILTER (WHERE status = 'success'), 0) AS DOUBLE), 9) AS completion_rate, count(*) FILTER (WHERE status = 'success' AND completion = 'fabricated') AS fabrications, round(avg(context_tokens) FILTER (WHERE status = 'success'), 6) AS mean_context_tokens"""
+
+
+@query(f"WITH {RESULTS} SELECT strategy, budget, {_SUMMARY} FROM results GROUP BY strategy, budget")
+def benchmark_cells(spark, sf):
+    return E.summary(results(spark, sf), "strategy", "budget")
+
+
+@query(f"WITH {RESULTS} SELECT strategy, {_SUMMARY} FROM results GROUP BY strategy")
+def strategy_summary(spark, sf):
+    return E.summary(results(spark, sf), "strategy")
+
+
+@query(
+    f"""WITH {RESULTS}, c AS (SELECT strategy, CASE WHEN status <> 'success' THEN 'not_measured' WHEN completion = 'fabricated' THEN 'hallucination' WHEN context_tokens > budget THEN 'budget_overflow' WHEN NOT passed THEN category || '_loss' END AS failure_class FROM results)
+ SELECT strategy, failure_class, count(*) AS n FROM c WHERE failure_class IS NOT NULL GROUP BY ALL"""
+)
+def failure_taxonomy(spark, sf):
+    return E.failure_class(results(spark, sf)).groupBy("strategy", "failure_class").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {RESULTS} SELECT strategy, count(DISTINCT model) AS models, count(DISTINCT model) <= 1 AS comparable FROM results GROUP BY strategy")
+def comparability(spark, sf):
+    return E.comparability(results(spark, sf))
+
+
+@query(f"WITH {RESULTS} SELECT model FROM results GROUP BY model HAVING count(DISTINCT strategy) = (SELECT count(DISTINCT strategy) FROM results)")
+def coverage_intersection(spark, sf):
+    return E.shared_coverage(results(spark, sf), "model")
+
+
+@query(f"WITH {RESULTS} SELECT CAST(doc_id AS VARCHAR) AS scenario_id, lang AS strategy FROM documents WHERE CAST(doc_id AS VARCHAR) NOT IN (SELECT scenario_id FROM results)")
+def resume_skip(spark, sf):
+    planned = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("scenario_id"), F.col("lang").alias("strategy"))
+    return E.pending_cells(planned, results(spark, sf), ["scenario_id", "strategy"])
+
+
+@query(f"WITH {ARCHIVE}, n AS (SELECT session_id, max(seq) + 1 AS c FROM archive GROUP BY 1), m AS (SELECT session_id, max(seq) + 1 AS k FROM archive WHERE kind = 'user_message' GROUP BY 1) SELECT n.session_id, greatest(0, c - coalesce(k, 0)) AS pending FROM n LEFT JOIN m USING (session_id)")
+def incremental_pending(spark, sf):
+    log = archive(spark, sf)
+    marks = I.advance(log.limit(0).select("session_id", F.col("seq").alias("next_seq")), log.where("kind = 'user_message'"))
+    return I.pending(log, marks)
+
+
+@query("SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start_s, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
+def event_windows(spark, sf):
+    return I.windowed(table(spark, sf, "events")).select(F.unix_timestamp(F.col("start").cast("timestamp")).alias("start_s"), "event_type", "n", "total")
+
+
+@query()
+def compile_sections(spark, sf):
+    """No SQL: four budgets that depend on one another; tests hold it against plain Python."""
+    return P.compile_context(state_items(spark, sf), archive(spark, sf), "go on with the work", 120)
