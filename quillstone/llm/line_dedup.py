@@ -131,7 +131,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 20) -> DataFrame:
     empty result; other columns are passed on.
     """
     names = docs.columns
-    found = repeated_runs(docs.select("doc_id", "text"), min_words).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "runs")
+    found = repeated_runs(docs.select("doc_id", "text"), min_words).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "runs").hint("merge")  # grows with the corpus: never broadcast
     joined = docs.withColumn("_text_hash", F.xxhash64("text")).join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
     lines = F.split("text", "\n", -1)
     stays = F.filter(lines, lambda x, i: ~F.exists("runs", lambda r: (i >= r["first"]) & (i <= r["last"])))
