@@ -103,6 +103,8 @@ def repeated_runs(docs: DataFrame, min_words: int = 20) -> DataFrame:
     position meets only the earliest of its fingerprint, so a line that half the table
     shares makes one pair per text, not one for every two; the match then grows line
     by line. The earliest of equal lines is never part of a run, so one copy stays.
+    Found for certain is every line of a shortest stretch of ``min_words`` words that
+    stands earlier; lines beside it go as far as the earliest place agrees.
     """
     table = cut(line_table(docs, min_words).dropDuplicates(["doc_id", "text_hash"]), "lines")
     kind = docs.schema["doc_id"].dataType.simpleString()

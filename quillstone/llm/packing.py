@@ -249,7 +249,7 @@ def _evolve_rows(capacity: int, generations: int, epoch: int):
     return run
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, block: int = 1024, islands: int = 2, epochs: int = 2, generations: int = 24, full: float = 0.998, levels: int = 4) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, block: int = 1024, islands: int = 2, epochs: int = 2, generations: int = 24, full: float = 0.998, levels: int = 8) -> DataFrame:
     """items(pid, length), pid distinct -> pid, sequence_id, offset.
 
     Items of full length are sequences by themselves. The others go by hash into
@@ -260,11 +260,11 @@ def pack(items: DataFrame, capacity: int = CAPACITY, block: int = 1024, islands:
     """
     done = [items.where(F.col("length") >= capacity).select("pid", F.col("pid").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))]
     loose = items.where(F.col("length") < capacity).select("pid", F.col("length").cast("int").alias("length"))
-    n = loose.count()
+    n, before_n = loose.count(), 0
     for level in range(levels):
         if not n:
             break
-        last = n <= block or level == levels - 1
+        last = n <= block or level == levels - 1 or (level > 0 and n > 0.9 * before_n)
         count = -(-n // block)
         salt = F.xxhash64(F.col("pid"), F.lit(level))
         blocks = cut(
@@ -294,8 +294,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, block: int = 1024, islands:
         if last:
             break
         loose = out.where(~stays).select(F.explode("held").alias("x")).select("x.pid", "x.length")
-        left = loose.count()
-        n = left
+        n, before_n = loose.count(), n
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
