@@ -9,9 +9,10 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def canonical_json(text: pd.Series) -> pd.Series:
     """JSON text with sorted keys, no spaces and ASCII escapes; null for what is not JSON."""
 
@@ -24,7 +25,7 @@ def canonical_json(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 

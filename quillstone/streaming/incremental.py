@@ -24,9 +24,9 @@ def follow(spark: SparkSession, path: str, out: str, checkpoint: str, transform:
     """Import new transcript files as they come; a batch writes its own folder, so a rerun of it replaces and never repeats."""
 
     def write(batch: DataFrame, number: int) -> None:
-        transform(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        transform(batch.select(F.monotonically_increasing_id().alias("position"), "line")).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    lines = spark.readStream.text(path).select(F.monotonically_increasing_id().alias("position"), F.col("value").alias("line"))
+    lines = spark.readStream.text(path).select(F.col("value").alias("line"))
     return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
