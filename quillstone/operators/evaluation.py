@@ -38,3 +38,20 @@ def shared_coverage(results: DataFrame, key: str) -> DataFrame:
 
 def pending_cells(planned: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return planned.join(done.select(*keys).distinct(), keys, "left_anti")
+
+
+def category_scores(results: DataFrame) -> DataFrame:
+    return results.where("status = 'success'").groupBy("category").agg(F.count(F.lit(1)).alias("checks"), F.round(F.avg(F.col("passed").cast("double")), 9).alias("score"))
+
+
+def completed(criteria: DataFrame, key: str) -> DataFrame:
+    """Per scenario: null if none or any criterion is not evaluable, else whether all passed."""
+    none = F.bool_or(F.col("completion") == "not_evaluable")
+    return criteria.groupBy(key).agg(F.when(none, F.lit(None)).otherwise(F.bool_and(F.col("completion") == "passed")).alias("completed"))
+
+
+def calibration(results: DataFrame, reference: str, least: float = 0.7) -> DataFrame:
+    """Whether judged answers of the reference strategy can be trusted: its share that passed, void below ``least``."""
+    own = results.where((F.col("strategy") == reference) & (F.col("status") == "success"))
+    share = F.try_divide(F.count_if("passed").cast("double"), F.count(F.lit(1)))
+    return own.agg(F.count(F.lit(1)).alias("judged"), F.round(share, 9).alias("share"), (share < least).alias("void"))

@@ -44,3 +44,23 @@ def live(thread: DataFrame, max_rounds: int = 24) -> DataFrame:
 
 def abandoned(thread: DataFrame) -> DataFrame:
     return thread.join(live(thread).select("session_id", "seq"), ["session_id", "seq"], "left_anti")
+
+
+def nearest(thread: DataFrame, wanted: str, max_rounds: int = 24) -> DataFrame:
+    """id, ancestor: the nearest record up the parents for which ``wanted`` (SQL) holds, or null.
+
+    A record that is not wanted hands on to its parent; pointers over runs of such
+    records double their reach each round.
+    """
+    nodes = thread.where("id is not null").groupBy("id").agg(F.min_by("parent_id", "seq").alias("parent_id"), F.min_by(F.expr(wanted), "seq").alias("wanted"))
+    now = staged(nodes.select("id", F.col("parent_id").alias("ancestor")), "nearest")
+    skip = staged(nodes.where("not wanted").select(F.col("id").alias("ancestor"), F.col("parent_id").alias("up")), "skips")
+    for _ in range(max_rounds):
+        after = staged(now.join(skip, "ancestor", "left").select("id", F.when(F.col("up").isNotNull(), F.col("up")).otherwise(F.col("ancestor")).alias("ancestor"), F.col("up").isNotNull().alias("moved")), "nearest")
+        now = after.drop("moved")
+        if not after.where("moved").limit(1).count():
+            break
+        further = skip.select(F.col("ancestor").alias("up"), F.col("up").alias("upper"))
+        skip = staged(skip.join(further, "up", "left").select("ancestor", F.coalesce("upper", "up").alias("up")), "skips")
+    there = nodes.where("wanted").select(F.col("id").alias("ancestor"), F.lit(True).alias("there"))
+    return now.join(there, "ancestor", "left").select("id", F.when(F.col("there"), F.col("ancestor")).alias("ancestor"))

@@ -62,3 +62,51 @@ def compile_context(items: DataFrame, log: DataFrame, task: str, budget: int, st
     order = L.recent_window(log, left)
     recent = order.join(spent, "session_id", "left").where(F.col("spent") <= left - F.coalesce("used", F.lit(0))).select(F.lit("recent").alias("section"), "session_id", "id", "cost")
     return state.unionByName(recent)
+
+
+def validate(evidence: DataFrame, items: DataFrame, log: DataFrame) -> DataFrame:
+    """Findings on evidence(id, item_id, record_id, content, hash): severity, code and id, one union of rules.
+
+    Errors: evidence whose hash differs, or whose record the log does not hold; warnings:
+    evidence of no item and active items without evidence.
+    """
+    of = lambda rows, severity, code: rows.select(F.lit(severity).alias("severity"), F.lit(code).alias("code"), "id")
+    records = log.select(F.col("id").alias("record_id")).distinct()
+    known = items.select(F.col("id").alias("item_id"))
+    described = evidence.select(F.col("item_id").alias("id")).distinct()
+    rules = [
+        of(evidence.where(F.col("hash") != F.sha2("content", 256)), "error", "hash_mismatch"),
+        of(evidence.join(records, "record_id", "left_anti"), "error", "unresolved_record"),
+        of(evidence.join(known, "item_id", "left_anti"), "warning", "orphan_evidence"),
+        of(items.where("status = 'active'").join(described, "id", "left_anti"), "warning", "undescribed_item"),
+    ]
+    out = rules[0]
+    for r in rules[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def render(sections: DataFrame, target: str) -> DataFrame:
+    """sections(package_id, rank, section, text) -> package_id, body: the request of a target as JSON; an unknown target is generic."""
+    whole = F.array_sort(F.collect_list(F.struct("rank", "section", "text")))
+    held = sections.groupBy("package_id").agg(whole.alias("s"))
+    system = F.array_join(F.transform(F.filter("s", lambda x: x["section"] != "task"), lambda x: x["text"]), "\n\n")
+    task = F.array_join(F.transform(F.filter("s", lambda x: x["section"] == "task"), lambda x: x["text"]), "\n\n")
+    message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    chat = F.struct(F.array(message("system", system), message("user", task)).alias("messages"))
+    part = lambda text: F.struct(F.array(F.struct(text.alias("text"))).alias("parts"))
+    bodies = {
+        "openai": chat,
+        "local": chat,
+        "anthropic": F.struct(system.alias("system"), F.array(message("user", task)).alias("messages")),
+        "gemini": F.struct(part(system).alias("system_instruction"), F.array(part(task)).alias("contents")),
+    }
+    return held.select("package_id", F.to_json(bodies.get(target, F.struct(system.alias("context"), task.alias("task")))).alias("body"))
+
+
+def allocate(target: int, recent_share: float = 0.4, least: int = 50) -> tuple[int, int]:
+    """Tokens for recent turns and for the summary; a target under ``least`` cannot be split."""
+    if target < least:
+        raise ValueError(f"a target of {target} is under {least}")
+    recent = max(1, int(target * recent_share))
+    return recent, target - recent

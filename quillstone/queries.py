@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
 from quillstone.operators import evaluation as E
+from quillstone.operators import extraction as X
 from quillstone.operators import log as L
 from quillstone.operators import state as S
 from quillstone.operators import thread as H
@@ -340,6 +341,87 @@ def event_windows(spark, sf):
     return I.windowed(table(spark, sf, "events")).select(F.unix_timestamp(F.col("start").cast("timestamp")).alias("start_s"), "event_type", "n", "total")
 
 
+@query(f"WITH RECURSIVE {THREAD}, up AS (SELECT id, parent_id AS cur FROM thread UNION ALL SELECT u.id, t.parent_id FROM up u JOIN thread t ON t.id = u.cur WHERE t.kind <> 'user_message') SELECT t.id, u.cur AS ancestor FROM thread t LEFT JOIN (SELECT up.id, up.cur FROM up JOIN thread x ON x.id = up.cur AND x.kind = 'user_message') u ON u.id = t.id")
+def nearest_ancestor(spark, sf):
+    return H.nearest(thread(spark, sf), "kind = 'user_message'")
+
+
+_ITEMS = "items AS (SELECT CAST(doc_id AS VARCHAR) AS id, CAST(doc_id % 120 AS VARCHAR) AS session_id, substr(text, 1, 200) AS content, n_chars % 9 AS cited FROM documents)"
+_OVER = r"list_distinct(list_filter(regexp_extract_all(lower(content), '[a-z0-9][a-z0-9._-]*'), lambda w: length(w) > 2 AND NOT list_contains([{}], w)))".format(", ".join(f"'{w}'" for w in T.STOPWORDS))
+
+
+@query(
+    f"""WITH {ARCHIVE}, {_ITEMS}, j AS (SELECT i.*, (SELECT max(seq) FROM archive a WHERE a.session_id = i.session_id) AS lst, a.payload FROM items i LEFT JOIN archive a ON a.session_id = i.session_id AND a.seq = i.cited), o AS (SELECT *, {_OVER} AS own FROM j),
+ c AS (SELECT id, CASE WHEN lst IS NULL OR cited > lst THEN 'out_of_range' WHEN len(own) > 0 AND len(list_filter(own, lambda w: contains(lower(payload), w))) / CAST(len(own) AS DOUBLE) < 0.34 THEN 'weak_grounding' END AS code FROM o)
+ SELECT id, CASE WHEN code = 'weak_grounding' THEN 'warning' ELSE 'error' END AS severity, code FROM c WHERE code IS NOT NULL"""
+)
+def extraction_findings(spark, sf):
+    d = table(spark, sf, "documents")
+    items = d.select(F.col("doc_id").cast("string").alias("id"), (F.col("doc_id") % 120).cast("string").alias("session_id"), F.substring("text", 1, 200).alias("content"), (F.col("n_chars") % 9).alias("cited"))
+    return X.findings(items, archive(spark, sf))
+
+
+_NUMBERED = r"numbered AS (SELECT CAST(user_id AS VARCHAR) AS session_id, event_id AS seq, props || ' ' || CAST(event_id AS VARCHAR) AS payload FROM events), found AS (SELECT session_id, seq, unnest(regexp_extract_all(payload, '\d+(?:[.:/-]\d+)*')) AS value, generate_subscripts(regexp_extract_all(payload, '\d+(?:[.:/-]\d+)*'), 1) AS pos FROM numbered), firsts AS (SELECT session_id, value, min(seq * 1000 + pos) AS f FROM found WHERE value NOT IN ('0', '1', '2') GROUP BY ALL), ledger AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY f) AS n FROM firsts QUALIFY n <= 24)"
+
+
+def _numbered(spark, sf):
+    return table(spark, sf, "events").select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("seq"), F.concat_ws(" ", "props", "event_id").alias("payload"))
+
+
+@query(f"WITH {_NUMBERED} SELECT session_id, value, f // 1000 AS seq, CAST(n AS INT) AS n FROM ledger")
+def literal_ledger(spark, sf):
+    return X.literals(_numbered(spark, sf))
+
+
+@query(f"WITH {_NUMBERED} SELECT session_id, value FROM ledger l WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.session_id = l.session_id AND f.value = l.value AND f.seq > 5000)")
+def missing_literals(spark, sf):
+    log = _numbered(spark, sf)
+    return X.missing_literals(X.literals(log), log.where("seq > 5000")).select("session_id", "value")
+
+
+@query(f"WITH {ARCHIVE}, c AS (SELECT session_id, CAST(len(payload) AS BIGINT) AS n, kind <> 'system_message' AS exact, CASE WHEN seq < 4 THEN 'words' ELSE 'chars' END AS method FROM archive) SELECT session_id, CAST(sum(n) AS BIGINT) AS count, bool_and(exact) AS exact, CASE WHEN count(DISTINCT method) = 1 THEN min(method) ELSE 'mixed' END AS method FROM c GROUP BY session_id")
+def token_totals(spark, sf):
+    rows = archive(spark, sf).select("session_id", F.length("payload").cast("bigint").alias("count"), (F.col("kind") != "system_message").alias("exact"), F.when(F.col("seq") < 4, "words").otherwise("chars").alias("method"))
+    return X.token_total(rows, "session_id")
+
+
+@query(f"WITH {RESULTS} SELECT category, count(*) AS checks, round(avg(CAST(passed AS INT)), 9) AS score FROM results WHERE status = 'success' GROUP BY category")
+def category_scores(spark, sf):
+    return E.category_scores(results(spark, sf))
+
+
+@query(f"WITH {RESULTS} SELECT model, CASE WHEN bool_or(completion = 'not_evaluable') THEN NULL ELSE bool_and(completion = 'passed') END AS completed FROM results GROUP BY model")
+def completion_status(spark, sf):
+    return E.completed(results(spark, sf), "model")
+
+
+@query(f"WITH {RESULTS} SELECT count(*) AS judged, round(count(*) FILTER (WHERE passed) / CAST(nullif(count(*), 0) AS DOUBLE), 9) AS share, count(*) FILTER (WHERE passed) / CAST(nullif(count(*), 0) AS DOUBLE) < 0.7 AS void FROM results WHERE strategy = 'en' AND status = 'success'")
+def judge_calibration(spark, sf):
+    return E.calibration(results(spark, sf), "en")
+
+
+@query(
+    f"""WITH {STATE}, {ARCHIVE}, ev AS (SELECT 'ev-' || event_id AS id, CASE WHEN event_id % 17 = 0 THEN 'none' ELSE CAST(event_id AS VARCHAR) END AS item_id, user_id || '-' || (event_id % 9) AS record_id, props AS content, sha256(CASE WHEN event_id % 23 = 0 THEN 'x' ELSE props END) AS hash FROM events WHERE event_type <> 'view')
+ SELECT 'error' AS severity, 'hash_mismatch' AS code, id FROM ev WHERE hash <> sha256(content) UNION ALL SELECT 'error', 'unresolved_record', id FROM ev WHERE record_id NOT IN (SELECT id FROM archive) UNION ALL SELECT 'warning', 'orphan_evidence', id FROM ev WHERE item_id NOT IN (SELECT id FROM state)
+ UNION ALL SELECT 'warning', 'undescribed_item', id FROM state WHERE status = 'active' AND id NOT IN (SELECT item_id FROM ev)"""
+)
+def package_validate(spark, sf):
+    n = F.col("event_id")
+    e = table(spark, sf, "events").where("event_type <> 'view'")
+    evidence = e.select(
+        F.concat(F.lit("ev-"), n).alias("id"), F.when(n % 17 == 0, "none").otherwise(n.cast("string")).alias("item_id"), F.concat_ws("-", "user_id", n % 9).alias("record_id"), F.col("props").alias("content"), F.sha2(F.when(n % 23 == 0, "x").otherwise(F.col("props")), 256).alias("hash")
+    )
+    return P.validate(evidence, state_items(spark, sf), archive(spark, sf))
+
+
+@query()
+def render_packages(spark, sf):
+    """No SQL: JSON text of nested structures; tests read it back."""
+    log = archive(spark, sf)
+    sections = log.select(F.col("session_id").alias("package_id"), F.col("seq").alias("rank"), F.when(F.col("seq") == 0, "task").otherwise("recent").alias("section"), F.col("payload").alias("text"))
+    return P.render(sections, "anthropic")
+
+
 @query()
 def compile_sections(spark, sf):
     """No SQL: four budgets that depend on one another; tests hold it against plain Python."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import canonical
 from quillstone.functions import text as T
+from quillstone.operators import extraction as X
 from quillstone.operators import log as L
 from quillstone.operators import state as S
 from quillstone.operators import thread as H
@@ -97,3 +98,32 @@ def test_stream_equals_batch(spark, tmp_path):
     run()
     key = lambda df: sorted((r["reason"] or "", r["source_id"] or "") for r in df.collect())
     assert key(spark.read.parquet(str(tmp_path / "out"))) == key(jsonl.read(spark, str(tmp_path / "in")))
+
+
+def test_verdicts(spark):
+    texts = ["YES", "\n **no.** because", "maybe", "", None, "yes, sure"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(X.verdict(F.col("t"))).collect()]
+    assert got == ["YES", None, None, None, None, None]
+    assert spark.createDataFrame([("\n **no.**\nbecause",)], "t string").select(X.verdict(F.col("t"))).first()[0] == "NO"
+
+
+def test_renderers(spark):
+    rows = spark.createDataFrame([("p", 1, "state", "é s"), ("p", 9, "task", "do"), ("p", 2, "recent", "r")], "package_id string, rank int, section string, text string")
+    body = {t: json.loads(P.render(rows, t).first()["body"]) for t in ("openai", "anthropic", "gemini", "else")}
+    assert body["openai"]["messages"] == [{"role": "system", "content": "é s\n\nr"}, {"role": "user", "content": "do"}]
+    assert body["anthropic"] == {"system": "é s\n\nr", "messages": [{"role": "user", "content": "do"}]}
+    assert body["gemini"]["contents"] == [{"parts": [{"text": "do"}]}] and body["else"] == {"context": "é s\n\nr", "task": "do"}
+
+
+def test_allocate():
+    import pytest
+
+    assert P.allocate(160) == (64, 96)
+    with pytest.raises(ValueError):
+        P.allocate(49)
+
+
+def test_empty_state_and_results(spark):
+    items = state_items(spark, SF).where("false")
+    for df in (S.current(items), S.newest(items), S.duplicate_active(items), S.supersession_forks(items), S.dangling(items), P.state_section(items, 9), X.literals(archive(spark, SF).where("false"))):
+        assert df.count() == 0
