@@ -55,3 +55,11 @@ def calibration(results: DataFrame, reference: str, least: float = 0.7) -> DataF
     own = results.where((F.col("strategy") == reference) & (F.col("status") == "success"))
     share = F.try_divide(F.count_if("passed").cast("double"), F.count(F.lit(1)))
     return own.agg(F.count(F.lit(1)).alias("judged"), F.round(share, 9).alias("share"), (share < least).alias("void"))
+
+
+def matrix(scenarios: DataFrame, strategies: list[str], budgets: list[int], reference: str, repetitions: int) -> DataFrame:
+    """Planned cells: each scenario and repetition once for the reference, and for every other strategy at every budget."""
+    cells = [(reference, None)] + [(s, b) for s in strategies if s != reference for b in budgets]
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("strategy"), F.lit(b).cast("int").alias("budget")) for s, b in cells])).alias("cell")
+    runs = scenarios.select("scenario_id", F.explode(F.sequence(F.lit(1), F.lit(repetitions))).alias("repetition"))
+    return runs.select("scenario_id", "repetition", each).select("scenario_id", "repetition", "cell.strategy", "cell.budget")

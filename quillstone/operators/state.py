@@ -93,3 +93,40 @@ def dangling(items: DataFrame) -> DataFrame:
 def cross_session(items: DataFrame) -> DataFrame:
     other = items.select(F.col("id").alias("there"), F.col("session_id").alias("other_session"))
     return items.join(other, F.col("supersedes") == F.col("there")).where("session_id <> other_session")
+
+
+def listing(items: DataFrame, types: list[str] | None = None, status: str | None = None) -> DataFrame:
+    """Items of the types (none of an empty list, all without one) and status."""
+    if types is not None:
+        items = items.where(F.col("type").isin(types)) if types else items.where(F.lit(False))
+    return items if status is None else items.where(F.col("status") == status)
+
+
+def lineage(snapshots: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """snapshots(id, parent_id) -> id, root, depth: the first snapshot of each line and the steps from it, by pointer doubling."""
+    now = staged(snapshots.select("id", F.coalesce("parent_id", "id").alias("root"), F.col("parent_id").isNotNull().cast("bigint").alias("depth")), "lineage")
+    for _ in range(max_rounds):
+        ahead = now.select(F.col("id").alias("root"), F.col("root").alias("further"), F.col("depth").alias("more"))
+        after = staged(now.join(ahead, "root").select("id", F.col("further").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("further") != F.col("root")).alias("moved")), "lineage")
+        now = after.drop("moved")
+        if not after.where("moved").limit(1).count():
+            return now
+    raise ValueError(f"a line of snapshots does not end within 2^{max_rounds} steps: it runs in a circle")
+
+
+def latest(snapshots: DataFrame) -> DataFrame:
+    """The last snapshot of each session by time and id."""
+    return snapshots.groupBy("session_id").agg(F.max_by("id", F.struct("created_at", "id")).alias("id"), F.max("created_at").alias("created_at"))
+
+
+def integrity(messages: DataFrame) -> DataFrame:
+    """Violations in messages(id, session_id, seq, role, tool_name, parent_id): code and id, one row for each broken rule."""
+    rules = {
+        "negative_seq": F.col("seq") < 0,
+        "own_parent": F.col("parent_id") == F.col("id"),
+        "tool_without_name": (F.col("role") == "tool") & F.col("tool_name").isNull(),
+        "name_without_tool": (F.col("role") != "tool") & F.col("tool_name").isNotNull(),
+    }
+    broken = messages.select("id", F.explode(F.filter(F.array(*[F.when(F.coalesce(r, F.lit(False)), F.lit(c)) for c, r in rules.items()]), lambda x: x.isNotNull())).alias("code"))
+    again = messages.groupBy("session_id", "seq").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n > 1").select("id", F.lit("repeated_seq").alias("code"))
+    return broken.unionByName(again)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
@@ -414,6 +414,45 @@ def package_validate(spark, sf):
     return P.validate(evidence, state_items(spark, sf), archive(spark, sf))
 
 
+@query(f"WITH {STATE} SELECT id, session_id, type FROM state WHERE type IN ('goal', 'decision') AND status = 'active'")
+def state_listing(spark, sf):
+    return S.listing(state_items(spark, sf), ["goal", "decision"], "active").select("id", "session_id", "type")
+
+
+def _snapshots(spark, sf):
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("session_id"), before.alias("parent_id"), F.col("o_orderdate").alias("created_at"))
+
+
+@query("SELECT o_orderkey AS id, first_value(o_orderkey) OVER w AS root, row_number() OVER w - 1 AS depth FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
+def snapshot_lineage(spark, sf):
+    return S.lineage(_snapshots(spark, sf))
+
+
+@query("SELECT o_custkey AS session_id, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS id, CAST(max(epoch_us(o_orderdate)) AS BIGINT) AS created_us FROM orders GROUP BY o_custkey")
+def latest_snapshot(spark, sf):
+    return S.latest(_snapshots(spark, sf)).select("session_id", "id", F.unix_micros(F.col("created_at").cast("timestamp")).alias("created_us"))
+
+
+_MESSAGES = "m AS (SELECT id, session_id, CASE WHEN seq = 6 THEN 5 ELSE seq - 1 END AS seq, CASE WHEN seq = 2 THEN 'tool' ELSE 'user' END AS role, CASE WHEN seq = 4 THEN 'ls' END AS tool_name, CASE WHEN seq = 3 THEN id END AS parent_id FROM archive)"
+
+
+@query(
+    f"""WITH {ARCHIVE}, {_MESSAGES} SELECT id, 'negative_seq' AS code FROM m WHERE seq < 0 UNION ALL SELECT id, 'own_parent' FROM m WHERE parent_id = id UNION ALL SELECT id, 'tool_without_name' FROM m WHERE role = 'tool' AND tool_name IS NULL
+ UNION ALL SELECT id, 'name_without_tool' FROM m WHERE role <> 'tool' AND tool_name IS NOT NULL UNION ALL SELECT min(id), 'repeated_seq' FROM m GROUP BY session_id, seq HAVING count(*) > 1"""
+)
+def message_integrity(spark, sf):
+    seq = F.col("seq")
+    m = archive(spark, sf).select("id", "session_id", F.when(seq == 6, 5).otherwise(seq - 1).alias("seq"), F.when(seq == 2, "tool").otherwise("user").alias("role"), F.when(seq == 4, "ls").alias("tool_name"), F.when(seq == 3, F.col("id")).alias("parent_id"))
+    return S.integrity(m)
+
+
+@query("SELECT CAST(item_id AS VARCHAR) AS scenario_id, CAST(r AS INT) AS repetition, strategy, CAST(budget AS INT) AS budget FROM benchmark, range(1, 4) AS t(r), (VALUES ('full', NULL), ('summary', 160), ('summary', 900), ('hybrid', 160), ('hybrid', 900)) AS c(strategy, budget)")
+def matrix_expansion(spark, sf):
+    scenarios = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("scenario_id"))
+    return E.matrix(scenarios, ["full", "summary", "hybrid"], [160, 900], "full", 3)
+
+
 @query()
 def render_packages(spark, sf):
     """No SQL: JSON text of nested structures; tests read it back."""

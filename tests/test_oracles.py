@@ -6,7 +6,7 @@ import pytest
 from quillstone import queries
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents labels conversations benchmark".split()
 
 
 def rows(columns, found):
