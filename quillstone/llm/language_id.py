@@ -15,10 +15,15 @@ from quillstone.llm.base import documents, fold, load
 
 #: Fixed odd multipliers of the hash of an n-gram, one for each place.
 FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], dtype=np.uint32)
+#: Letters, and numbers other than decimal digits (as in x²), which has_letter() tells apart.
 LETTER = re.compile(r"[^\W\d_]")
 PIECE = 1 << 18
 
 
+def has_letter(text: str | None) -> bool:
+    return any(m.group().isalpha() for m in LETTER.finditer(text or ""))
+
+
 def pieces(texts: list[str | None], overlap: int) -> Iterator[tuple[list[int], list[np.ndarray]]]:
     """Texts as code points with a space before and after, in groups of about PIECE; long texts go in overlapping pieces."""
     rows, parts, size = [], [], 0
@@ -82,7 +87,7 @@ class LanguageModel:
         dens = self.log_densities(texts)
         best = dens.argmax(axis=1)
         score = 1 / np.exp(dens - dens.max(axis=1, keepdims=True)).sum(axis=1)
-        known = np.array([bool(t) and LETTER.search(t) is not None for t in texts], dtype=bool)
+        known = np.array([has_letter(t) for t in texts], dtype=bool)
         return [self.langs[b] if k else "und" for b, k in zip(best, known, strict=True)], np.where(known, score, 0.0)
 
 

@@ -81,6 +81,7 @@ def test_language_id(spark, docs_of):
     model = language_id.learn(rows.select("text", "lang"))
     out = {r["doc_id"]: r for r in language_id.predict(documents(rows), model).collect()}
     assert out[0]["lang_pred"] == out[1]["lang_pred"] == out[len(EDGES)]["lang_pred"] == "und" and out[3]["lang_pred"] == "en"
+    assert [language_id.has_letter(t) for t in (None, "", "12 ² ½ _", "²é", "12 a")] == [False, False, False, True, True]
     none = language_id.learn(rows.where("false").select("text", "lang"))
     assert {r["lang_pred"] for r in language_id.predict(documents(rows), none).collect()} == {"und"}
 
