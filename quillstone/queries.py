@@ -15,6 +15,7 @@ from quillstone.operators import state as S
 from quillstone.operators import thread as H
 from quillstone.operators.retrieval import search
 from quillstone.plans import package as P
+from quillstone.plans.compaction import compaction_plan as plan_compaction
 from quillstone.sources.tables import archive, results, state_items, table, thread
 from quillstone.streaming import incremental as I
 
@@ -453,6 +454,15 @@ def matrix_expansion(spark, sf):
     return E.matrix(scenarios, ["full", "summary", "hybrid"], [160, 900], "full", 3)
 
 
+@query(
+    f"""WITH {ARCHIVE}, c AS (SELECT session_id, seq, {WORDS.format('payload')} + 3 AS cost FROM archive), r AS (SELECT *, sum(cost) OVER (PARTITION BY session_id ORDER BY seq DESC) <= 160 AS stays FROM c),
+ s AS (SELECT session_id, sum(cost) AS total, coalesce(min(seq) FILTER (stays), max(seq) + 1) AS start, coalesce(sum(cost) FILTER (stays), 0) AS kept FROM r GROUP BY session_id)
+ SELECT session_id, CAST(total AS BIGINT) AS input_tokens, total <= 400 AS fits, CAST(CASE WHEN total <= 400 THEN 0 ELSE start END AS BIGINT) AS split, CAST(CASE WHEN total <= 400 THEN total ELSE kept END AS BIGINT) AS recent_tokens, CAST(CASE WHEN total <= 400 THEN 0 ELSE 240 END AS BIGINT) AS summary_tokens FROM s"""
+)
+def compaction_plan(spark, sf):
+    return plan_compaction(archive(spark, sf), 400)
+
+
 @query()
 def render_packages(spark, sf):
     """No SQL: JSON text of nested structures; tests read it back."""

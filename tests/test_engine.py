@@ -4,6 +4,7 @@ import hashlib
 import json
 import unicodedata
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillstone.functions import canonical
@@ -14,6 +15,7 @@ from quillstone.operators import state as S
 from quillstone.operators import thread as H
 from quillstone.operators.retrieval import search
 from quillstone.plans import package as P
+from quillstone.plans.compaction import compaction_plan
 from quillstone.sources import jsonl
 from quillstone.sources.tables import archive, state_items
 from quillstone.streaming import incremental as I
@@ -127,3 +129,12 @@ def test_empty_state_and_results(spark):
     items = state_items(spark, SF).where("false")
     for df in (S.current(items), S.newest(items), S.duplicate_active(items), S.supersession_forks(items), S.dangling(items), P.state_section(items, 9), X.literals(archive(spark, SF).where("false"))):
         assert df.count() == 0
+
+
+def test_compaction_plan(spark):
+    log = spark.createDataFrame([("a", 0, "x " * 10), ("b", 0, "x " * 100), ("b", 1, "x " * 30), ("b", 2, None), ("c", 0, "x " * 20), ("c", 1, "x " * 300)], "session_id string, seq int, payload string")
+    got = {r["session_id"]: tuple(r)[1:] for r in compaction_plan(log, 100).collect()}
+    assert got == {"a": (13, True, 0, 13, 0), "b": (139, False, 1, 36, 60), "c": (326, False, 2, 0, 60)}
+    assert compaction_plan(log.where("false"), 100).count() == 0
+    with pytest.raises(ValueError):
+        compaction_plan(log, 10)
