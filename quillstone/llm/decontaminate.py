@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.base import cut, load
 
-#: Fixed masks: positions that are compared, of a span of up to 11 words.
-MASKS = ("11101011", "110100110101", "1010110011", "111111")
+#: Fixed masks: positions that are compared. A stretch of 6 words or more with 80 % alike has one of them: without four equal words in
+#: a row, m >= 4 x alike of x changed leave x <= 3, and then three equal words lie one change from two others (tests try them all).
+MASKS = ("1111", "111011", "110111")
 #: ASCII other than letters and digits separates words; A-Z are lower-cased (other letters before, by str.lower).
 FOLD = bytes(ord(chr(b).lower()) if chr(b).isalnum() or b > 127 else 32 for b in range(128)) + bytes(range(128, 256))
 #: Slots of the two filters, as powers of two; fixed, whatever the benchmark holds.
@@ -150,23 +151,22 @@ def regions(docs: DataFrame, tables: tuple[np.ndarray, np.ndarray], reach: int)
     return rows.mapInArrow(run, f"doc_id {kind}, text_hash bigint, start int, words array<bigint>, at array<int>, seeds array<bigint>").distinct()
 
 
-def best_stretch(same: np.ndarray, identity: float) -> tuple[int, int, int]:
-    """Start, end and matches of the stretch of largest (matches - identity x length): its share of matches is at least identity."""
-    if not same.any():
-        return 0, 0, 0
-    gain = np.concatenate(([0.0], np.cumsum(np.where(same, 1 - identity, -identity))))
-    least = np.minimum.accumulate(gain)
-    end = int(np.argmax(gain - least))
-    start = int(np.argmin(gain[: end + 1]))
+def longest_stretch(same: np.ndarray, identity: float) -> tuple[int, int, int]:
+    """Start, end and matches of the longest stretch (the first of them) whose share of matches is at least identity."""
+    gain = np.concatenate(([0.0], np.cumsum(np.where(same, 1 - identity, -identity)))) + 1e-9 * np.arange(len(same) + 1)  # 1e-9: sums of floats
+    starts = np.searchsorted(-np.minimum.accumulate(gain), -gain)  # per end the first start from which the sum is not below 0
+    lengths = np.arange(len(gain)) - starts
+    end = int(np.argmax(lengths))
+    start = int(starts[end])
     return start, end, int(same[start:end].sum())
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, identity: float = 0.8, reach: int = 64, broadcast_rows: int = 2_000_000) -> DataFrame:
     """Overlaps of docs(doc_id, text) with benchmark(item_id, text): doc_id, item_id, doc_start, item_start, n_words, n_same.
 
-    One row per document, item and diagonal whose best stretch around a seed has
-    ``min_words`` words (or the whole item, if that is shorter) of which ``identity``
-    are alike. A stretch is followed for ``reach`` words beyond its outer seeds.
+    One row per document, item and diagonal with a seed on which a stretch of
+    ``min_words`` words or more (or the whole item, if that is shorter) has ``identity``
+    of them alike; the row is of the longest such stretch. A stretch is followed for ``reach`` words beyond its outer seeds.
     Items shorter than 6 words have no seed and are never found. Null texts have no
     words; rows equal in id and text count once; an empty table on either side gives
     an empty result. The seeds of the benchmark are broadcast up to
@@ -190,7 +190,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, identit
             for i, (diagonal, start) in enumerate(zip(batch.column("diagonal").to_pylist(), batch.column("start").to_pylist(), strict=True)):
                 words, item = (v[o[i] : o[i + 1]] for v, o in lists)
                 low, high = max(0, -diagonal), min(len(item), len(words) - diagonal)
-                a, b, same = best_stretch(words[low + diagonal : high + diagonal] == item[low:high], identity)
+                a, b, same = longest_stretch(words[low + diagonal : high + diagonal] == item[low:high], identity)
                 if b - a >= min(min_words, len(item)):
                     take.append(i)
                     rows.append((start + low + a + diagonal, low + a, b - a, same))

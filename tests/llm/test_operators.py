@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -253,6 +254,40 @@ def test_decontamination(spark, docs_of):
     assert decontaminate.overlaps(documents(docs_of(texts)), bench.where("false")).count() == 0
 
 
+def test_longest_stretch_equals_brute_force():
+    rng = np.random.default_rng(8)
+    for _ in range(400):
+        same = rng.random(rng.integers(0, 40)) < rng.choice([0.3, 0.7, 0.85])
+        brute = max((b - a for a in range(len(same)) for b in range(a, len(same) + 1) if 5 * same[a:b].sum() >= 4 * (b - a)), default=0)
+        a, b, n = decontaminate.longest_stretch(same, 0.8)
+        assert (b - a, n) == (brute, same[a:b].sum()) and 5 * n >= 4 * (b - a)
+
+
+def test_every_passage_with_four_fifths_alike_has_a_seed():
+    for n in range(6, 21):
+        for changed in combinations(range(n), n // 5):
+            equal = [k not in changed for k in range(n)]
+            assert any(all(equal[at + j] for j, bit in enumerate(m) if bit == "1") for m in decontaminate.MASKS for at in range(n - len(m) + 1)), (n, changed)
+
+
+def test_decontamination_finds_substitutions(spark, docs_of):
+    rnd = random.Random(7)
+    items, texts, expected = [[f"w{n}x{k}" for k in range(n)] for n in (13, 15, 20, 25)], [], set()
+    for _ in range(300):
+        i = rnd.randrange(4)
+        words, n = list(items[i]), len(items[i])
+        wrong = rnd.randrange(1, n // 5 + 2)
+        for k in rnd.sample(range(n), wrong):
+            words[k] = "zzz"
+        alike = [w != "zzz" for w in words]
+        if any(5 * sum(alike[a:b]) >= 4 * (b - a) for a in range(n) for b in range(a + 13, n + 1)):
+            expected.add((len(texts), i))
+        texts.append(f"foreign words before {' '.join(words)} foreign words after")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string")
+    found = decontaminate.overlaps(documents(docs_of(texts)), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == expected and 0 < len(expected) < len(texts)
+
+
 def test_packing(spark, docs_of):
     rnd = random.Random(7)
     texts = EDGES + [words_text(rnd, rnd.randrange(1, 400)) for _ in range(300)] + ["don't stop... ÉTÉ! ΣΟΦΟΣ 3rd <|endoftext|> İ a b"]
