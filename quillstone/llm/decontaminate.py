@@ -15,6 +15,9 @@ from quillstone.llm.base import cut, load
 #: Fixed masks: positions that are compared. A stretch of 6 words or more with 80 % alike has one of them: without four equal words in
 #: a row, m >= 4 x alike of x changed leave x <= 3, and then three equal words lie one change from two others (tests try them all).
 MASKS = ("1111", "111011", "110111")
+#: Further masks of items of so few words; four words are wholly in MASKS. Documents are read by them only if there are such items.
+SHORT = {1: ("1",), 2: ("11",), 3: ("111",), 5: ("11011", "10111", "11101")}
+ALL = (*MASKS, *(m for few in SHORT.values() for m in few))
 #: ASCII other than letters and digits separates words; A-Z are lower-cased (other letters before, by str.lower).
 FOLD = bytes(ord(chr(b).lower()) if chr(b).isalnum() or b > 127 else 32 for b in range(128)) + bytes(range(128, 256))
 #: Slots of the two filters, as powers of two; fixed, whatever the benchmark holds.
@@ -42,14 +45,14 @@ class Words(dict):
         return np.array([self[w] for w in low.translate(FOLD).split()], dtype=np.uint64)
 
 
-def seeds(words: np.ndarray) -> Iterator[np.ndarray]:
+def seeds(words: np.ndarray, masks: tuple[str, ...] = MASKS) -> Iterator[np.ndarray]:
     """Per mask the hash at every position where it fits: a sum of word hashes, each times an odd factor of its place."""
-    for k, mask in enumerate(MASKS):
+    for mask in masks:
         n = len(words) - len(mask) + 1
         if n <= 0:
             yield np.zeros(0, np.uint64)
             continue
-        out = np.full(n, k + 1, np.uint64)
+        out = np.full(n, ALL.index(mask) + 1, np.uint64)
         for j, bit in enumerate(mask):
             if bit == "1":
                 out += words[j : j + n] * np.uint64(2 * (0x9E3779B97F4A7C15 * (j + 1) >> 3 & (1 << 60) - 1) + 1)
@@ -61,19 +64,21 @@ def _kind(df: DataFrame, name: str) -> str:
 
 
 def benchmark_seeds(benchmark: DataFrame) -> DataFrame:
-    """benchmark(item_id, text) -> seed, item_id, item_hash, at: all masked seeds of all items."""
+    """benchmark(item_id, text) -> seed, item_id, item_hash, at, mask: all masked seeds of all items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Words()
         for batch in batches:
             for i, text in enumerate(batch.column("text").to_pylist()):
-                for hashes in seeds(held.of(text)):
+                words = held.of(text)
+                masks = (*MASKS, *SHORT.get(len(words), ()))
+                for mask, hashes in zip(masks, seeds(words, masks), strict=True):
                     n = len(hashes)
                     take = pa.array(np.full(n, i, np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), batch.column("item_id").take(take), batch.column("item_hash").take(take), pa.array(np.arange(n, dtype=np.int32))], names=["seed", "item_id", "item_hash", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), batch.column("item_id").take(take), batch.column("item_hash").take(take), pa.array(np.arange(n, dtype=np.int32)), pa.array([mask] * n, pa.string())], names=["seed", "item_id", "item_hash", "at", "mask"])
 
     rows = benchmark.select("item_id", F.xxhash64("text").alias("item_hash"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"seed bigint, item_id {_kind(benchmark, 'item_id')}, item_hash bigint, at int").distinct()
+    return rows.mapInArrow(run, f"seed bigint, item_id {_kind(benchmark, 'item_id')}, item_hash bigint, at int, mask string").distinct()
 
 
 def word_hashes(table: DataFrame, *kept: str) -> DataFrame:
@@ -104,7 +109,7 @@ def _set_in(table: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (table[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def regions(docs: DataFrame, tables: tuple[np.ndarray, np.ndarray], reach: int) -> DataFrame:
+def regions(docs: DataFrame, tables: tuple[np.ndarray, np.ndarray], reach: int, masks: tuple[str, ...] = MASKS) -> DataFrame:
     """docs(doc_id, text) -> stretches of words around seeds that may be the benchmark's: words and the seeds in them.
 
     The filters only thin out: they let every true seed pass and about one other in
@@ -116,7 +121,7 @@ def regions(docs: DataFrame, tables: tuple[np.ndarray, np.ndarray], reach: int)
 
     def found(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at, seed = [], []
-        for hashes in seeds(words):
+        for hashes in seeds(words, masks):
             near = np.flatnonzero(_set_in(shared.value[0], hashes & low))
             near = near[_set_in(shared.value[1], (hashes[near] >> np.uint64(32)) & high)]
             at.append(near)
@@ -167,14 +172,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, identit
     One row per document, item and diagonal with a seed on which a stretch of
     ``min_words`` words or more (or the whole item, if that is shorter) has ``identity``
     of them alike; the row is of the longest such stretch. A stretch is followed for ``reach`` words beyond its outer seeds.
-    Items shorter than 6 words have no seed and are never found. Null texts have no
-    words; rows equal in id and text count once; an empty table on either side gives
+    Items of under 6 words have masks of their own. Null texts have no words; rows equal in id and text count once; an empty table on either side gives
     an empty result. The seeds of the benchmark are broadcast up to
     ``broadcast_rows`` of them, beyond that the join is shuffled.
     """
     spark = docs.sparkSession
     items = cut(benchmark_seeds(benchmark), "item-seeds")
-    stretches = cut(regions(docs, filters(items), reach), "regions").withColumn("region", F.xxhash64("doc_id", "text_hash", "start"))
+    used = {r["mask"] for r in items.select("mask").distinct().collect()}
+    stretches = cut(regions(docs, filters(items), reach, tuple(m for m in ALL if m in MASKS or m in used)), "regions").withColumn("region", F.xxhash64("doc_id", "text_hash", "start"))
     hits = stretches.select("region", F.explode(F.arrays_zip("at", "seeds")).alias("x")).select("region", F.col("x.at").alias("doc_at"), F.col("x.seeds").alias("seed"))
     small = items.count() <= broadcast_rows
     met = hits.join(F.broadcast(items) if small else items, "seed")

@@ -288,6 +288,18 @@ def test_decontamination_finds_substitutions(spark, docs_of):
     assert {(r["doc_id"], r["item_id"]) for r in found} == expected and 0 < len(expected) < len(texts)
 
 
+def test_decontamination_finds_short_items(spark, docs_of):
+    items, texts, expected = [[f"s{n}x{k}" for k in range(n)] for n in range(1, 13)], [], set()
+    for i, words in enumerate(items):
+        for k in range(-1, len(words)):
+            if 5 * (len(words) - (k >= 0)) >= 4 * len(words):
+                expected.add((len(texts), i))
+            texts.append(f"foreign before {' '.join('zzz' if j == k else w for j, w in enumerate(words))} foreign after")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string")
+    found = decontaminate.overlaps(documents(docs_of(texts)), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == expected and 0 < len(expected) < len(texts)
+
+
 def test_packing(spark, docs_of):
     rnd = random.Random(7)
     texts = EDGES + [words_text(rnd, rnd.randrange(1, 400)) for _ in range(300)] + ["don't stop... ÉTÉ! ΣΟΦΟΣ 3rd <|endoftext|> İ a b"]
