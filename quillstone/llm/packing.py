@@ -7,9 +7,11 @@ import random
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,38 +28,35 @@ def vocabulary_path() -> str:
 
 
 #: ASCII marks; a run of them after letters is a token of its own to the vocabulary's splitter.
-MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
 
 class Ids:
-    """Ids of texts as little-endian bytes, by chunks without white space: the vocabulary drops white space and never
-    joins across it, so a text's ids are those of its chunks in order.
+    """Ids of texts, by chunks without white space: the vocabulary drops white space and never joins across it, so a
+    text's ids are those of its chunks in order.
 
     A chunk of letters, or of letters and closing marks, is its letters' ids and the marks'; the letters that are
     new in a group of texts are encoded in one call, and each ends at an id of the vocabulary that ends a word. Other
-    chunks are encoded one by one. The caches are bounded (a full one becomes the older of two, whose words in use
-    move on); a process keeps them from task to task.
+    chunks are encoded one by one. The caches hold short chunks only, and a full one becomes the older of two, whose
+    entries in use move on; a process keeps them from task to task.
     """
 
-    def __init__(self, path: str, chunks: int = 300_000, words: int = 400_000):
+    def __init__(self, path: str, most: int = 150_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.longest = Tokenizer.from_file(path), longest
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.chunks: dict[bytes, bytes] = {}
-        self.words: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-        self.most = (chunks, words)
-        self.marks: dict[bytes, bytes] = {}
+        self.most = most
+        self.chunks, self.old_chunks, self.words, self.old_words, self.marks = ({} for _ in range(5))
 
-    def encoded(self, chunk: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+    def encoded(self, chunk: str) -> bytes:
+        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def add_words(self, words: list[bytes]) -> None:
-        ids = np.array(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, "<u4")
+    def add_words(self, words: list[str]) -> None:
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
         stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
         if len(stops) != len(words):
             self.words.update((w, self.encoded(w)) for w in words)
@@ -67,47 +66,66 @@ class Ids:
             self.words[w] = raw[start:stop]
             start = stop
 
-    def of(self, texts: list[bytes | None]) -> list[bytes]:
-        if len(self.chunks) > self.most[0]:
-            self.chunks.clear()
-        if len(self.words) + len(self.marks) > self.most[1]:
-            self.words, self.older = {}, self.words
+    def of_chunks(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each of some distinct chunks, as little-endian bytes."""
+        if len(self.chunks) > self.most:
+            self.chunks, self.old_chunks = {}, self.chunks
+        if len(self.words) > self.most:
+            self.words, self.old_words = {}, self.words
             self.marks.clear()
-        split = [t.split() if t else [] for t in texts]
-        chunks, words, older, marks = self.chunks, self.words, self.older, self.marks
-        fresh, long = set().union(*split).difference(chunks), []
-        new = set()
-        for chunk in fresh:
-            word = chunk.rstrip(MARKS).lower()
+        held, old, words, old_words, longest = self.chunks, self.old_chunks, self.words, self.old_words, self.longest
+        out = list(map(held.get, chunks))
+        fresh, new = [], set()
+        for i, ids in enumerate(out):
+            if ids is not None:
+                continue
+            chunk = chunks[i]
+            ids = old.get(chunk)
+            if ids is not None:
+                held[chunk] = out[i] = ids
+                continue
+            word = chunk.rstrip(MARKS)
+            if not word.isalpha() or len(chunk) > longest or len(chunk) - len(word) > 4:
+                out[i] = ids = self.encoded(chunk)
+                if len(chunk) <= longest:
+                    held[chunk] = ids
+                continue
+            mark = chunk[len(word) :]
+            if word.isascii():
+                word = word.lower()
             if word not in words:
-                if word in older:
-                    words[word] = older[word]
-                elif word.isalpha() or self.is_word(word):
+                ids = old_words.get(word)
+                if ids is None:
                     new.add(word)
-        if new:
-            self.add_words(list(new))
-        for chunk in fresh:
-            word = chunk.rstrip(MARKS)
-            known, mark = words.get(word.lower()), chunk[len(word) :]
-            if known is None or len(mark) > 4:
-                chunks[chunk] = self.encoded(chunk)
-                if len(chunk) > 128:
-                    long.append(chunk)
-            elif not mark:
-                chunks[chunk] = known
-            else:
+                else:
+                    words[word] = ids
+            fresh.append((i, word, mark))
+        for group in batched(new, 50_000):
+            self.add_words(list(group))
+        marks = self.marks
+        for i, word, mark in fresh:
+            ids = words[word]
+            if mark:
                 if mark not in marks:
                     marks[mark] = self.encoded(mark)
-                chunks[chunk] = known + marks[mark]
-        out = [b"".join([chunks[c] for c in s]) for s in split]
-        for chunk in long:
-            del chunks[chunk]
+                ids = ids + marks[mark]
+            held[chunks[i]] = out[i] = ids
         return out
 
-    @staticmethod
-    def is_word(word: bytes) -> bool:
-        """Whether a chunk with other than ASCII letters is letters only, and short enough to keep."""
-        return len(word) <= 128 and not word.isascii() and word.decode().isalpha()
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (null: none), one text after the other, and the place where each text's ids end."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        told = split.flatten().dictionary_encode()
+        each = self.of_chunks(told.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, each), np.int32, len(each)) // 4
+        flat, firsts = np.frombuffer(b"".join(each), "<u4"), np.cumsum(sizes, dtype=np.int32) - sizes
+        at = told.indices.to_numpy()
+        sizes = sizes[at]
+        ends = np.cumsum(sizes, dtype=np.int32)
+        where = np.repeat(firsts[at] - (ends - sizes), sizes)
+        where += np.arange(len(where), dtype=np.int32)
+        counts = split.offsets.to_numpy() - split.offsets[0].as_py()
+        return flat[where], np.concatenate(([0], ends))[counts[1:]]
 
 
 @cache
@@ -115,30 +133,43 @@ def held_ids(path: str) -> Ids:
     return Ids(path)
 
 
+def groups(texts: pa.Array, size: int = 1 << 23) -> Iterator[tuple[int, int]]:
+    """First and end of runs of rows with about ``size`` bytes of text; a longer text is a run of its own."""
+    ends, first = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy()), 0
+    while first < len(texts):
+        before = int(ends[first - 1]) if first else 0
+        end = max(first + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield first, end
+        first = end
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, piece, start, length, ids_crc32, ids: each document's ids and END, cut only if longer than capacity."""
+    """docs(doc_id, text) -> doc_id, piece, start, length, ids_crc32: each document's ids and END, cut only if longer than capacity."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = held_ids(path)
+        held = held_ids(path)
         for batch in batches:
-            for at in range(0, max(1, batch.num_rows), 1024):
-                part = batch.slice(at, 1024)
-                take, rows = [], []
-                for i, held in enumerate(ids.of(part.column("text").to_pylist())):
-                    held += END
-                    n = len(held) // 4
+            texts = batch.column("text")
+            for first, end in groups(texts):
+                take, rows, begin = [], [], 0
+                ids, stops = held.of(texts.slice(first, end - first))
+                raw = memoryview(ids).cast("B")
+                for i, stop in enumerate(stops.tolist()):
+                    n = stop - begin + 1
                     for piece, start in enumerate(range(0, n, capacity)):
-                        stop = min(start + capacity, n)
-                        take.append(i)
-                        rows.append((piece, start, stop - start, zlib.crc32(held[4 * start : 4 * stop])))
+                        cut_at = min(start + capacity, n)
+                        crc = zlib.crc32(raw[4 * (begin + start) : 4 * (begin + min(cut_at, n - 1))])
+                        take.append(first + i)
+                        rows.append((piece, start, cut_at - start, zlib.crc32(END, crc) if cut_at == n else crc))
+                    begin = stop
                 columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(take, pa.int64())), pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:])],
+                    [batch.column("doc_id").take(pa.array(take, pa.int64())), pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:])],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 class Bins:
