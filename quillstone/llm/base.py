@@ -28,9 +28,10 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage ends there and a lost executor costs no recomputation."""
+def cut(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """Write df as Parquet (in ``files`` files at most) into the shared folder and read it back: lineage ends there and a lost executor costs no recomputation."""
     spark = df.sparkSession
+    df = df if files is None else df.coalesce(files)
     path = f"{shared_dir(spark)}/quillstone-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

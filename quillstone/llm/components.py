@@ -26,12 +26,13 @@ def stars(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not mark[0]:
             return now
+        files = max(8, mark[0] // 100_000)
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
-        large = cut(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
-        lower = cut(large.groupBy("a").agg(F.min("b").alias("m")), "lower")
+        least = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least", files)
+        large = cut(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large", files)
+        lower = cut(large.groupBy("a").agg(F.min("b").alias("m")), "lower", files)
         small = large.join(lower, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lower.select("a", F.col("m").alias("b"))).distinct()
-        after = cut(small, "edges")
+        after = cut(small, "edges", files)
         marked = _mark(after)
         for old in (now, least, large, lower):
             drop_cut(old)

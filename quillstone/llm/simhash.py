@@ -122,8 +122,9 @@ def links(prints: DataFrame, distance: int = 3, blocks: int = 6, cap: int = 2000
     which needs no group to be held whole. Both ways are exact.
     """
     masks = F.explode(F.array(*[F.struct(F.lit(k).alias("mask"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("bigint")).alias("part")) for k, m in enumerate(block_masks(distance, blocks))])).alias("at")
-    block = Window.partitionBy("mask", "part")
-    met = cut(prints.select("fp", masks).select("at.mask", "at.part", "fp").withColumn("n", F.count(F.lit(1)).over(block)).where("n > 1"), "blocks")
+    dealt = prints.select("fp", masks).select("at.mask", "at.part", "fp")
+    shared = dealt.groupBy("mask", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = cut(dealt.join(shared, ["mask", "part"]).select("mask", "part", "fp", "n"), "blocks")
     usual = met.where(F.col("n") <= cap).select("mask", "part", "fp").repartition("mask", "part").sortWithinPartitions("mask", "part").mapInArrow(links_in_runs(distance), "a bigint, b bigint")
     large = met.where(F.col("n") > cap).select("fp").distinct()
     return usual if large.isEmpty() else usual.unionByName(dense_links(large, distance))
