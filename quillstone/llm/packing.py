@@ -35,97 +35,109 @@ class Ids:
     """Ids of texts, by chunks without white space: the vocabulary drops white space and never joins across it, so a
     text's ids are those of its chunks in order.
 
-    A chunk of letters, or of letters and closing marks, is its letters' ids and the marks'; the letters that are
-    new in a group of texts are encoded in one call, and each ends at an id of the vocabulary that ends a word. Other
-    chunks are encoded one by one. The caches hold short chunks only, and a full one becomes the older of two, whose
-    entries in use move on; a process keeps them from task to task.
+    A chunk of letters and up to four closing marks is its letters' ids and the marks'; any other chunk is one word by
+    itself. The words of letters that are new in a group of texts are encoded in few calls, each ending at an id of the
+    vocabulary that ends a word; the others one by one. The cache takes in short words that come up a second time (told
+    by a table of bits), and a full one becomes the older of two, whose words in use move on; a process keeps it from
+    task to task.
     """
 
-    def __init__(self, path: str, most: int = 150_000, longest: int = 64):
+    def __init__(self, path: str, most: int = 100_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.longest = Tokenizer.from_file(path), longest
+        self.tokenizer, self.longest, self.most = Tokenizer.from_file(path), longest, most
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.most = most
-        self.chunks, self.old_chunks, self.words, self.old_words, self.marks = ({} for _ in range(5))
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.seen = np.zeros(1 << 22, bool)
 
     def encoded(self, chunk: str) -> bytes:
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def add_words(self, words: list[str]) -> None:
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+    def encoded_words(self, words: tuple[str, ...]) -> list[bytes]:
+        """The ids of each of some words of letters."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
         if len(stops) != len(words):
-            self.words.update((w, self.encoded(w)) for w in words)
-            return
-        raw, start = ids.tobytes(), 0
-        for w, stop in zip(words, stops, strict=True):
-            self.words[w] = raw[start:stop]
-            start = stop
-
-    def of_chunks(self, chunks: list[str]) -> list[bytes]:
-        """The ids of each of some distinct chunks, as little-endian bytes."""
-        if len(self.chunks) > self.most:
-            self.chunks, self.old_chunks = {}, self.chunks
+            return [self.encoded(w) for w in words]
+        raw = ids.tobytes()
+        return list(map(raw.__getitem__, map(slice, [0, *stops], stops)))
+
+    def of_words(self, words: list[str], letters: list[bool]) -> list[bytes]:
+        """The ids of each of some distinct words, as little-endian bytes."""
         if len(self.words) > self.most:
-            self.words, self.old_words = {}, self.words
-            self.marks.clear()
-        held, old, words, old_words, longest = self.chunks, self.old_chunks, self.words, self.old_words, self.longest
-        out = list(map(held.get, chunks))
-        fresh, new = [], set()
-        for i, ids in enumerate(out):
-            if ids is not None:
-                continue
-            chunk = chunks[i]
-            ids = old.get(chunk)
+            self.words, self.older = {}, self.words
+        held, older, new = self.words, self.older, []
+        out = list(map(held.get, words))
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            word = words[i]
+            ids = older.get(word)
             if ids is not None:
-                held[chunk] = out[i] = ids
-                continue
-            word = chunk.rstrip(MARKS)
-            if not word.isalpha() or len(chunk) > longest or len(chunk) - len(word) > 4:
-                out[i] = ids = self.encoded(chunk)
-                if len(chunk) <= longest:
-                    held[chunk] = ids
-                continue
-            mark = chunk[len(word) :]
-            if word.isascii():
-                word = word.lower()
-            if word not in words:
-                ids = old_words.get(word)
-                if ids is None:
-                    new.add(word)
-                else:
-                    words[word] = ids
-            fresh.append((i, word, mark))
-        for group in batched(new, 50_000):
-            self.add_words(list(group))
-        marks = self.marks
-        for i, word, mark in fresh:
-            ids = words[word]
-            if mark:
-                if mark not in marks:
-                    marks[mark] = self.encoded(mark)
-                ids = ids + marks[mark]
-            held[chunks[i]] = out[i] = ids
+                held[word] = out[i] = ids
+            elif letters[i]:
+                new.append(i)
+            else:
+                out[i] = self.encoded(word)
+                if len(word) <= self.longest:
+                    held[word] = out[i]
+        bits = np.fromiter(map(hash, map(words.__getitem__, new)), np.int64, len(new)) & (len(self.seen) - 1)
+        again = self.seen[bits].tolist()
+        self.seen[bits] = True
+        for group in batched(zip(new, again, strict=True), 2000):
+            for (i, known), ids in zip(group, self.encoded_words(tuple(words[i] for i, _ in group)), strict=True):
+                out[i] = ids
+                if known:
+                    held[words[i]] = ids
         return out
 
+    def split(self, chunks: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Of each chunk its word (letters in lower case, or the whole chunk), and its closing marks as the digits of a number."""
+        word = pc.utf8_rtrim(chunks, MARKS)
+        size = pc.binary_length(chunks)
+        marks = pc.subtract(size, pc.binary_length(word))
+        plain = pc.and_(pc.and_(pc.utf8_is_alpha(word), pc.less_equal(marks, 4)), pc.less_equal(size, self.longest))
+        marks = np.where(plain.to_numpy(zero_copy_only=False), marks.to_numpy(), 0)
+        codes = np.zeros(len(chunks), np.uint32)
+        if len(chunks):
+            ends = np.frombuffer(chunks.buffers()[1], np.int32)[chunks.offset + 1 : chunks.offset + 1 + len(chunks)]
+            data = np.frombuffer(chunks.buffers()[2], np.uint8) if chunks.buffers()[2] else np.zeros(1, np.uint8)
+            for j in range(4, 0, -1):
+                some = np.flatnonzero(marks >= j)
+                codes[some] = (codes[some] << np.uint32(8)) | data[ends[some] - j]
+        return pc.if_else(plain, pc.ascii_lower(word), chunks), codes
+
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (null: none), one text after the other, and the place where each text's ids end."""
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         told = split.flatten().dictionary_encode()
-        each = self.of_chunks(told.dictionary.to_pylist())
+        word, codes = self.split(told.dictionary)
+        word = word.dictionary_encode()
+        each = self.of_words(word.dictionary.to_pylist(), pc.utf8_is_alpha(word.dictionary).to_pylist())
+        codes, mark = np.unique(codes, return_inverse=True)
+        each += [self.encoded(int(c).to_bytes(4, "big").lstrip(b"\0").decode()) for c in codes]
         sizes = np.fromiter(map(len, each), np.int32, len(each)) // 4
         flat, firsts = np.frombuffer(b"".join(each), "<u4"), np.cumsum(sizes, dtype=np.int32) - sizes
         at = told.indices.to_numpy()
-        sizes = sizes[at]
+        units = np.empty((len(at), 2), np.int32)
+        units[:, 0], units[:, 1] = word.indices.to_numpy()[at], (len(word.dictionary) + mark)[at]
+        units = units.ravel()
+        units = units[sizes[units] > 0]
+        sizes = sizes[units]
         ends = np.cumsum(sizes, dtype=np.int32)
-        where = np.repeat(firsts[at] - (ends - sizes), sizes)
+        where = np.repeat(firsts[units] - (ends - sizes), sizes)
         where += np.arange(len(where), dtype=np.int32)
-        counts = split.offsets.to_numpy() - split.offsets[0].as_py()
-        return flat[where], np.concatenate(([0], ends))[counts[1:]]
+        return flat[where], self.bounds(split, told, each, word, mark)
+
+    @staticmethod
+    def bounds(split: pa.ListArray, told: pa.DictionaryArray, each: list[bytes], word: pa.DictionaryArray, mark: np.ndarray) -> np.ndarray:
+        """Where each text's ids end."""
+        sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        of_chunk = sizes[word.indices.to_numpy()] + sizes[len(word.dictionary) + mark]
+        ends = np.concatenate(([0], np.cumsum(of_chunk[told.indices.to_numpy()])))
+        return ends[split.offsets.to_numpy()[1:] - split.offsets[0].as_py()]
 
 
 @cache
