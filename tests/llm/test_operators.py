@@ -256,7 +256,7 @@ def test_lm_bits_add_up():
 def test_lm_followers_equal_brute_force():
     rnd = random.Random(5)
     texts = [[rnd.choice([b"a", b"b", b"c", b"d"]) for _ in range(rnd.randrange(60))] + [b""] for _ in range(20)]
-    got = lm_mixing.Followers(texts)
+    got = lm_mixing.Followers(lm_mixing.Indexed(texts))
     names, i = list(dict.fromkeys(t for own in texts for t in own)), 0
     for own in texts:
         last2, last1 = {}, {}
