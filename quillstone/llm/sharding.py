@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import heapq
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.base import cut, documents, load
+from quillstone.llm.base import cut, documents, load, shared_dir
 
 SLOTS = 8192
 
@@ -75,9 +76,20 @@ class SlotMap:
             heapq.heappush(order, (w + weight, shard))
         return SlotMap(self.version + 1, self.shards + 1, tuple(owner))
 
-    def table(self, spark: SparkSession) -> DataFrame:
-        """version, slot, shard: the stored form, one row for each slot."""
-        return spark.createDataFrame([(self.version, s, o) for s, o in enumerate(self.owner)], "version int, virtual_slot int, shard int")
+    def store(self, spark: SparkSession, folder: str) -> SlotMap:
+        """Write the map as one version below folder (one row for each slot); a version that is there already stays."""
+        rows = spark.createDataFrame([(self.shards, s, o) for s, o in enumerate(self.owner)], "shards int, virtual_slot int, shard int")
+        rows.coalesce(1).write.mode("ignore").parquet(f"{folder}/version={self.version}")
+        return self
+
+    @staticmethod
+    def load(spark: SparkSession, folder: str, version: int | None = None) -> SlotMap:
+        """A stored version, the last one by default."""
+        rows = spark.read.parquet(folder)
+        if version is None:
+            version = rows.agg(F.max("version")).first()[0]
+        held = sorted((r["virtual_slot"], r["shard"], r["shards"]) for r in rows.where(F.col("version") == version).collect())
+        return SlotMap(int(version), held[0][2], tuple(o for _, o, _ in held))
 
 
 def _last_at_most(sorted_pairs: list[tuple[int, int]], weight: int) -> int:
@@ -96,9 +108,12 @@ def weighed(rows: DataFrame, slot: Column, slots: int) -> tuple[list[int], list[
     return size, count
 
 
-def assign(rows: DataFrame, shards: int, slots: int = SLOTS, crowd: int = 16) -> tuple[DataFrame, SlotMap]:
+def assign(rows: DataFrame, shards: int, folder: str, slots: int = SLOTS, crowd: int = 16) -> tuple[DataFrame, SlotMap]:
     """rows(size, group, spread, ...) -> the rows with virtual_slot, and the map after balancing its bytes.
 
+    The map is kept in folder: the last version there (a first one where there is none)
+    is loaded, edited by the moves that balance the bytes, and stored as the next.
+
     A record goes to the slot of its group's hash, so that equal texts share a shard.
     Slots that this fills with more than 1/``crowd`` of a shard, in bytes or rows, are
     spread by the hash of the record itself; there can be at most 2 * crowd * shards of them.
@@ -110,7 +125,12 @@ def assign(rows: DataFrame, shards: int, slots: int = SLOTS, crowd: int = 16) ->
     by_record = F.pmod(F.xxhash64("spread"), F.lit(slots)).cast("int")
     slot = F.when(by_group.isin(crowded), by_record).otherwise(by_group) if crowded else by_group
     size, _ = weighed(rows, slot, slots)
-    return rows.withColumn("virtual_slot", slot), SlotMap.first(shards, slots).rebalanced(size)
+    spark = rows.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        SlotMap.first(shards, slots).store(spark, folder)
+    edited = SlotMap.load(spark, folder).rebalanced(size).store(spark, folder)
+    return rows.withColumn("virtual_slot", slot), SlotMap.load(spark, folder, edited.version)
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str, shards: int = 24) -> DataFrame:
@@ -123,7 +143,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str, shards: int = 24) -> DataFram
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     docs = documents(load(spark, sf_dir, "documents"))
     rows = cut(docs.select("doc_id", (F.octet_length(text) + 8).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("group"), F.xxhash64("doc_id", text).alias("spread")), "sizes")
-    placed, slot_map = assign(rows, shards)
+    placed, slot_map = assign(rows, shards, f"{shared_dir(spark)}/quillstone-slot-map-{uuid.uuid4().hex}")
     _, count = weighed(placed, F.col("virtual_slot"), SLOTS)
     before, first = [0] * shards, []
     for s, shard in enumerate(slot_map.owner):

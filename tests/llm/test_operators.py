@@ -194,6 +194,37 @@ def test_sharding(spark, docs_of, tmp_path):
     assert new.version == 3 and all(a == b or b == 8 for a, b in zip(old.owner, new.owner, strict=True)) and abs(new.loads(weights)[8] - sum(weights) / 9) < 200
 
 
+def test_slot_map_is_stored_edited_and_loaded(spark, docs_of, tmp_path):
+    rnd = random.Random(9)
+    rows = docs_of([words_text(rnd, rnd.randrange(1, 30)) for _ in range(200)]).select("doc_id", F.length("text").alias("size"), F.col("doc_id").alias("group"), F.col("doc_id").alias("spread"))
+    folder = str(tmp_path / "map")
+    _, one = sharding.assign(rows, 4, folder, slots=256)
+    assert one.version == 2 and sharding.SlotMap.load(spark, folder) == one and sharding.SlotMap.load(spark, folder, 1) == sharding.SlotMap.first(4, 256)
+    grown = one.grown([1] * 256).store(spark, folder)
+    _, two = sharding.assign(rows, 4, folder, slots=256)
+    assert sharding.SlotMap.load(spark, folder, 3) == grown and (two.version, two.shards) == (4, 5)
+    assert sharding.assign(rows.where("false"), 4, str(tmp_path / "empty"))[0].count() == 0
+
+
+def test_winnowing_thins_and_shares():
+    rnd = random.Random(10)
+    run = [rnd.randrange(1 << 60) for _ in range(6)]
+    sides = [[rnd.randrange(1 << 60) for _ in range(40)] for _ in range(4)]
+    words = [rnd.randrange(4, 9) for _ in range(6)]
+    one = line_dedup.winnowed(sides[0] + run + sides[1], [5] * 40 + words + [7] * 40, 20)
+    two = line_dedup.winnowed(sides[2] + run + sides[3], [9] * 40 + words + [3] * 40, 20)
+    assert set(one[1]) & set(two[1]) and set(sum(one[2], [])) & set(sum(two[2], []))
+    assert len(one[0]) < sum(map(len, one[2]))  # fewer fingerprints than stretches
+    assert line_dedup.winnowed([], [], 20) == ([], [], []) and line_dedup.winnowed([5], [30], 20)[0] == [0] and line_dedup.winnowed([5], [19], 20) == ([], [], [])
+
+
+def test_line_dedup_with_clashing_names(spark, docs_of):
+    text = "\n".join(f"line {i} with five words more" for i in range(6))
+    rows = docs_of([text, f"other\n{text}"]).withColumns({c: F.lit("x") for c in ("runs", "n_lines", "n_removed", "hash")})
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(rows).collect()}
+    assert (got[1]["text"], got[1]["n_lines"], got[1]["n_removed"], got[1]["runs"], got[1]["hash"]) == ("other", 7, 6, "x", "x") and got[0]["text"] == text
+
+
 def test_lm_base_and_model(spark, real):
     got = {r["doc_id"]: r for r in lm_mixing.op7_lm_scoring(spark, SF).collect()}
     own = lambda t: (t or "").encode().lower().split() + [b""]
