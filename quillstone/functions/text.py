@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Fixed value: what a word of a search is.
 TOKEN = r"[A-Za-z_]+|\d+(?:\.\d+)*"
 #: Words that a query is searched without.
 STOPWORDS = (
@@ -13,6 +14,13 @@ STOPWORDS = (
 ).split()
 
 
+#: Words that say nothing about what a claim is grounded in.
+UNGROUNDED = (
+    "a an and are as at be been but by can could do does for from had has have if in into is it its may might must not of on or should so than that "
+    "the their there these they this those to was were will with would we you our your"
+).split()
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased words and dotted numbers, in order."""
     return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), F.lower)
@@ -77,11 +85,15 @@ def excerpt(text: Column, terms: list[str], before: int = 80, length: int = 240)
 
 def overlap(claim: Column, source: Column) -> Column:
     """Share of the claim's distinctive words that stand somewhere in the source; 1 if it has none."""
-    own = F.array_distinct(F.filter(F.regexp_extract_all(F.lower(claim), F.lit(r"[a-z0-9][a-z0-9._-]*"), F.lit(0)), lambda w: (F.length(w) > 2) & ~w.isin(STOPWORDS)))
+    own = F.array_distinct(F.filter(F.regexp_extract_all(F.lower(claim), F.lit(r"[a-z0-9][a-z0-9._-]*"), F.lit(0)), lambda w: (F.length(w) > 2) & ~w.isin(UNGROUNDED)))
     hit = F.size(F.filter(own, lambda w: F.contains(F.lower(source), w)))
     return F.when(F.size(own) == 0, F.lit(1.0)).otherwise(hit / F.size(own))
 
 
 def unit(value: Column) -> Column:
-    """A number clamped to 0..1; 0.5 for what is not a number."""
+    """A number clamped to 0..1; 0.5 for what is not a number, a truth value too."""
+    return F.when(F.typeof(value) == "boolean", F.lit(0.5)).otherwise(_clamped(value))
+
+
+def _clamped(value: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(value.try_cast("double"), F.lit(0.5))))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
+from quillstone.sources.store import with_hash
 
 
 def in_range(log: DataFrame, start: int, stop: int) -> DataFrame:
@@ -30,15 +34,20 @@ def tail(log: DataFrame, n: int) -> DataFrame:
 
 
 def verify(log: DataFrame) -> DataFrame:
-    """Records whose hash differs from their payload's or whose number is not their place."""
+    """Records whose hash is not that of their number, id, kind and payload, a missing one too, or whose number is not their place.
+
+    Only a flag of each record is sorted, not its payload.
+    """
+    stored = log.select("session_id", "seq", "id", "kind", "payload", F.col("hash").alias("stored"))
+    flagged = with_hash(stored).select("session_id", "seq", "id", (~F.col("stored").eqNullSafe(F.col("hash"))).alias("changed"))
     place = F.row_number().over(Window.partitionBy("session_id").orderBy("seq")) - 1
-    return log.withColumn("place", place).where((F.col("hash") != F.sha2("payload", 256)) | (F.col("seq") != F.col("place"))).select("session_id", "seq", "id")
+    return flagged.withColumn("place", place).where(F.col("changed") | ~F.col("seq").eqNullSafe(F.col("place"))).select("session_id", "seq", "id")
 
 
 def recent_window(log: DataFrame, budget: int, cost: Column | None = None) -> DataFrame:
     """The longest run of last records of each session whose costs (words and 3 each) fit the budget."""
     order = Window.partitionBy("session_id").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0)
-    held = log.withColumn("cost", T.word_count(F.col("payload")) + 3 if cost is None else cost)
+    held = log.withColumn("cost", T.word_count(F.col("payload")) + 3 if cost is None else cost).drop("payload", "hash")  # costs are sorted, not texts
     return held.withColumn("spent", F.sum("cost").over(order)).where(F.col("spent") <= budget)
 
 
@@ -51,14 +60,25 @@ def prefix_fit(rows: DataFrame, group: str, order: list[str], cost: str, budget:
 def greedy_windows(log: DataFrame, size: Column, limit: int) -> DataFrame:
     """Fill a window until the next record overflows it, then open another; a record that alone is too large gets its own.
 
-    The rule resets, so it is a fold over a session's sizes in order (16 bytes a record).
+    The rule resets, so it is a fold over a session's sizes in order: one pass over
+    sorted partitions that carries a session, its window and how full that is.
     """
-    step = lambda acc, x: F.when((acc["used"] > 0) & (acc["used"] + x["size"] > limit), F.struct((acc["window"] + 1).alias("window"), x["size"].alias("used"), F.concat(acc["out"], F.array(F.struct(x["seq"].alias("seq"), (acc["window"] + 1).alias("window")))).alias("out"))).otherwise(
-        F.struct(acc["window"].alias("window"), (acc["used"] + x["size"]).alias("used"), F.concat(acc["out"], F.array(F.struct(x["seq"].alias("seq"), acc["window"].alias("window")))).alias("out"))
-    )
-    zero = F.struct(F.lit(0).cast("bigint").alias("window"), F.lit(0).cast("bigint").alias("used"), F.array().cast("array<struct<seq:bigint,window:bigint>>").alias("out"))
-    held = log.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct(F.col("seq").cast("bigint").alias("seq"), size.cast("bigint").alias("size")))).alias("rows"))
-    return held.select("session_id", F.explode(F.aggregate("rows", zero, step, lambda acc: acc["out"])).alias("x")).select("session_id", "x.seq", "x.window")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, window, used = None, 0, 0
+        for batch in batches:
+            out = []
+            for s, n in zip(batch.column("session_id").to_pylist(), batch.column("size").to_pylist(), strict=True):
+                if s != session:
+                    session, window, used = s, 0, 0
+                if used and used + n > limit:
+                    window, used = window + 1, 0
+                used += n
+                out.append(window)
+            yield pa.RecordBatch.from_arrays([batch.column("session_id"), batch.column("seq"), pa.array(out, pa.int64())], names=["session_id", "seq", "window"])
+
+    held = log.where("session_id is not null").select("session_id", F.col("seq").cast("bigint").alias("seq"), F.coalesce(size, F.lit(0)).cast("bigint").alias("size"))
+    return held.repartition("session_id").sortWithinPartitions("session_id", "seq").mapInArrow(run, "session_id string, seq bigint, window bigint")
 
 
 def segments(thread: DataFrame) -> DataFrame:
@@ -76,6 +96,12 @@ def tool_pairs(events: DataFrame) -> DataFrame:
     return events.withColumn("matched", matched)
 
 
+def repeated_ids(events: DataFrame) -> DataFrame:
+    """events(position, source_id) with repeated: whether its id was seen further up."""
+    first = events.where("source_id is not null").groupBy("source_id").agg(F.min("position").alias("first"))
+    return events.join(first, "source_id", "left").withColumn("repeated", F.coalesce(F.col("position") > F.col("first"), F.lit(False))).drop("first")
+
+
 def import_counters(events: DataFrame) -> DataFrame:
     """Events, distinct and missing ids, repeats, missing times and types of an import, in one aggregate."""
     return events.agg(
@@ -87,3 +113,35 @@ def import_counters(events: DataFrame) -> DataFrame:
         F.min("seq").alias("first_seq"),
         F.max("seq").alias("last_seq"),
     )
+
+
+def import_report(events: DataFrame, by: str = "session_id") -> DataFrame:
+    """events(by, position, reason, type, source_id, time_text, timestamp) of imports -> one row of counters for each, with clean: nothing was lost or odd.
+
+    An error row has a reason; ``unusable_times`` were given but told nothing.
+    """
+    good, none = F.col("reason").isNull(), F.col("source_id").isNull()
+    counted = repeated_ids(events) if by is None else events.join(events.where("source_id is not null").groupBy(by, "source_id").agg(F.min("position").alias("first")), [by, "source_id"], "left")
+    n = lambda c: F.count_if(c)
+    out = counted.groupBy(by).agg(
+        n(good).alias("events"),
+        n(good & none).alias("missing_ids"),
+        n(good & F.col("timestamp").isNull()).alias("missing_times"),
+        n(good & F.col("timestamp").isNull() & F.col("time_text").isNotNull()).alias("unusable_times"),
+        n(good & (F.col("position") > F.col("first"))).alias("duplicates"),
+        n(F.col("reason") == "blank").alias("blank"),
+        n(~good & (F.col("reason") != "blank")).alias("malformed"),
+        n(good & (F.col("type") == "other")).alias("unknown_types"),
+    )
+    clean = F.lit(True)
+    for c in ("missing_ids", "unusable_times", "duplicates", "malformed", "unknown_types"):
+        clean = clean & (F.col(c) == 0)
+    return out.withColumn("clean", clean)
+
+
+def samples(events: DataFrame, column: str, most: int = 20, by: str = "session_id") -> DataFrame:
+    """by, values: the first ``most`` distinct values in order of their first place."""
+    first = events.where(F.col(column).isNotNull()).groupBy(by, column).agg(F.min("position").alias("at"))
+    place = F.row_number().over(Window.partitionBy(by).orderBy("at", column))
+    kept = first.withColumn("n", place).where(F.col("n") <= most)
+    return kept.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", F.col(column).alias("v")))), lambda x: x["v"]).alias("values"))

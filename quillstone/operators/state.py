@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
-from quillstone.sources.staging import staged
+from quillstone.sources.staging import dropped, staged
 
 
 def current(items: DataFrame) -> DataFrame:
@@ -32,9 +32,11 @@ def newest(items: DataFrame, max_rounds: int = 40) -> DataFrame:
         ahead = now.select(F.col("id").alias("newest"), F.col("newest").alias("further"), F.col("steps").alias("more"))
         after = staged(now.join(ahead, "newest").select("id", F.col("further").alias("newest"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("further") != F.col("newest")).alias("moved")), "chain")
         moved = after.where("moved").limit(1).count()
-        now = after.drop("moved")
+        dropped(now)
+        now = after
         if not moved:
             break
+    now = now.select("id", "newest", "steps")
     return now.join(next_of.select(F.col("id").alias("newest"), F.lit(True).alias("open")), "newest", "left").select("id", "newest", F.when(F.col("open").isNull(), F.col("steps")).alias("steps"))
 
 
@@ -130,3 +132,48 @@ def integrity(messages: DataFrame) -> DataFrame:
     broken = messages.select("id", F.explode(F.filter(F.array(*[F.when(F.coalesce(r, F.lit(False)), F.lit(c)) for c, r in rules.items()]), lambda x: x.isNotNull())).alias("code"))
     again = messages.groupBy("session_id", "seq").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n > 1").select("id", F.lit("repeated_seq").alias("code"))
     return broken.unionByName(again)
+
+
+def all_conflicts(items: DataFrame) -> DataFrame:
+    """kind, session_id, key, n of repeated active items, contradictory facts and forks, in that order of rank."""
+    none = F.lit(None).cast("string")
+    one = duplicate_active(items).select(F.lit(1).alias("rank"), F.lit("duplicate_active").alias("kind"), "session_id", F.concat_ws(":", "type", "content").alias("key"), "n")
+    two = contradictory_facts(items).select(F.lit(2).alias("rank"), F.lit("contradictory_facts").alias("kind"), "session_id", F.col("subject").alias("key"), "n")
+    three = supersession_forks(items).select(F.lit(3).alias("rank"), F.lit("supersession_fork").alias("kind"), none.alias("session_id"), F.col("supersedes").alias("key"), "n")
+    return one.unionByName(two).unionByName(three)
+
+
+def listed(items: DataFrame, session_id: str, types: list[str], status: str | None = None) -> DataFrame:
+    """Items of a session by time and id; no types, no rows."""
+    held = items.where((F.col("session_id") == session_id) & F.col("type").isin(types))
+    return (held if status is None else held.where(F.col("status") == status)).orderBy("created_at", "id")
+
+
+def hydrated(items: DataFrame, references: DataFrame) -> DataFrame:
+    """items(id) with sources: their references(id, ordinal, reference) in order, an empty list where there are none."""
+    lists = references.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "reference"))), lambda x: x["reference"]).alias("sources"))
+    return items.join(lists, "id", "left").withColumn("sources", F.coalesce("sources", F.array().cast("array<string>")))
+
+
+#: Columns of every state item; the others are attributes of its type.
+BASE = ("id", "session_id", "type", "content", "status", "retention", "importance", "confidence", "trust", "created_at", "supersedes", "sources", "related_ids", "metadata", "blocked_by")
+
+
+def to_row(items: DataFrame) -> DataFrame:
+    """State items with their type's own columns as one JSON text, nulls left out."""
+    own = [c for c in items.columns if c not in BASE]
+    return items.select(*[c for c in items.columns if c in BASE], F.to_json(F.struct(*own)).alias("attributes") if own else F.lit("{}").alias("attributes"))
+
+
+def from_row(rows: DataFrame, attributes: str) -> DataFrame:
+    """The reverse of to_row, with the attributes' schema."""
+    return rows.withColumn("_a", F.from_json("attributes", attributes)).select(*[c for c in rows.columns if c != "attributes"], "_a.*")
+
+
+def insert(stored: DataFrame, batch: DataFrame, path: str, check: DataFrame) -> None:
+    """Append a batch of rows to a table, or none of it: check(id, code) has its violations, ids must be new."""
+    from quillstone.operators.integrity import refuse
+
+    taken = batch.join(stored.select("id"), "id", "left_semi").select("id").unionByName(batch.groupBy("id").count().where("count > 1").select("id"))
+    refuse(taken.select(F.col("id").cast("string").alias("id"), F.lit("repeated_id").alias("code")).unionByName(check), "the batch was not written")
+    batch.write.mode("append").parquet(path)

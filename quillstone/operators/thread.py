@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.sources.staging import staged
+from quillstone.sources.staging import dropped, staged
 
 
 def _ancestors(nodes: DataFrame, max_rounds: int) -> DataFrame:
@@ -15,10 +15,17 @@ def _ancestors(nodes: DataFrame, max_rounds: int) -> DataFrame:
     for _ in range(max_rounds):
         ahead = now.select(F.col("id").alias("root"), F.col("root").alias("further"))
         after = staged(now.join(ahead, "root").select("id", F.col("further").alias("root"), (F.col("further") != F.col("root")).alias("moved")), "roots")
-        now = after.drop("moved")
-        if not after.where("moved").limit(1).count():
+        still = after.where("moved").limit(1).count()
+        dropped(now)
+        now = after
+        if not still:
             break
-    return now
+    else:
+        raise ValueError(f"parents form a cycle or a line longer than 2^{max_rounds}")
+    held = nodes.where("parent_id is not null").join(ids, "parent_id").select(F.col("id").alias("root"))
+    if now.join(held, "root", "left_semi").limit(1).count():
+        raise ValueError("parents form a cycle")
+    return now.select("id", "root")
 
 
 def live(thread: DataFrame, max_rounds: int = 24) -> DataFrame:
@@ -38,7 +45,11 @@ def live(thread: DataFrame, max_rounds: int = 24) -> DataFrame:
         before, reached = reached, alive.count()
         if before == reached:
             break
+        old = jump
         jump = staged(jump.join(jump.select(F.col("id").alias("up"), F.col("up").alias("upper")), "up").select("id", F.col("upper").alias("up")), "jump")
+        dropped(old)
+    else:
+        raise ValueError(f"a line is longer than 2^{max_rounds}")
     return thread.join(alive.withColumn("alive", F.lit(True)), "id", "left").where("alive or id is null").drop("alive")
 
 
@@ -60,6 +71,8 @@ def nearest(thread: DataFrame, wanted: str, max_rounds: int = 24) -> DataFrame:
         now = after.drop("moved")
         if not after.where("moved").limit(1).count():
             break
+        if skip.where("ancestor = up").limit(1).count():
+            raise ValueError("parents form a cycle")
         further = skip.select(F.col("ancestor").alias("up"), F.col("up").alias("upper"))
         skip = staged(skip.join(further, "up", "left").select("ancestor", F.coalesce("upper", "up").alias("up")), "skips")
     there = nodes.where("wanted").select(F.col("id").alias("ancestor"), F.lit(True).alias("there"))

@@ -1,13 +1,10 @@
-"""Packages: evidence, archive reference, review rules, and compiling sections into a budget."""
+"""Packages: evidence, archive reference, review and validation rules, requests of targets, shares of a budget."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.functions import text as T
-from quillstone.operators import log as L
-
 #: Shapes of text that reads like an instruction.
 INSTRUCTIONS = (
     r"ignore (all |any |the )?(previous|prior|above|earlier)",
@@ -18,19 +15,22 @@ INSTRUCTIONS = (
     r"\b(rm|del|drop)\s+(-rf?\s+|table\s+)",
     r"\bcurl\b.{0,40}\|\s*(sh|bash)",
 )
-ORDER = ("goal", "constraint", "decision", "fact", "task")
-
-
 def evidence_links(items: DataFrame, log: DataFrame) -> DataFrame:
     """items(id, source) with the position of their record; of a repeated record id the last counts, an unknown one gives null."""
     places = log.groupBy(F.col("id").alias("source")).agg(F.max("seq").alias("seq"))
     return items.join(places, "source", "left")
 
 
-def archive_reference(log: DataFrame) -> DataFrame:
-    """First and last position, records and a hash over the records' hashes in order of each session."""
-    chained = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "hash"))), lambda x: x["hash"]), ""), 256)
-    return log.groupBy("session_id").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count(F.lit(1)).alias("records"), chained.alias("hashes"))
+def archive_reference(log: DataFrame, cited: DataFrame) -> DataFrame:
+    """session_id, first_seq, last_seq, records of each session's log, and record_hashes: seq and hash of the records that cited(session_id, seq) names.
+
+    Of the log only sequence numbers and the cited hashes are shuffled; what a package
+    cites is bounded by its evidence.
+    """
+    whole = log.groupBy("session_id").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count(F.lit(1)).alias("records"))
+    held = log.select("session_id", "seq", "hash").join(cited.select("session_id", "seq").distinct(), ["session_id", "seq"], "left_semi")
+    hashes = held.groupBy("session_id").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("seq", "hash")))).alias("record_hashes"))
+    return whole.join(hashes, "session_id", "left").withColumn("record_hashes", F.coalesce("record_hashes", F.create_map().cast("map<bigint,string>")))
 
 
 def review(items: DataFrame, longest: int = 20_000) -> DataFrame:
@@ -40,52 +40,73 @@ def review(items: DataFrame, longest: int = 20_000) -> DataFrame:
     return shaped.unionByName(items.where(F.length("content") > longest).select("id", F.lit("oversized_item").alias("code"), F.lit(None).cast("int").alias("shape")))
 
 
-def state_section(items: DataFrame, budget: int) -> DataFrame:
-    """Active items of each session in order of type, as many first ones as fit with the heading of each type (one word)."""
-    rank = F.array_position(F.array(*[F.lit(t) for t in ORDER]), F.col("type"))
-    active = items.where("status = 'active'").withColumn("rank", rank)
-    from pyspark.sql import Window
-
-    opens = F.row_number().over(Window.partitionBy("session_id", "type").orderBy("created_at", "id")) == 1
-    costed = active.withColumn("cost", T.word_count(F.col("content")) + 1 + opens.cast("bigint"))
-    return L.prefix_fit(costed, "session_id", ["rank", "created_at", "id"], "cost", budget).select("session_id", "id", "type", "cost", "spent")
+def untraced(items: DataFrame, evidence: DataFrame) -> DataFrame:
+    """id, code of items that no evidence(item_id, seqs) with a position describes: nothing they say can be checked."""
+    traced = evidence.where(F.size("seqs") > 0).select(F.col("item_id").alias("id")).distinct()
+    return items.join(traced, "id", "left_anti").select("id", F.lit("unverified_content").alias("code"), F.lit(None).cast("int").alias("shape"))
 
 
-def compile_context(items: DataFrame, log: DataFrame, task: str, budget: int, state_share: float = 0.6) -> DataFrame:
-    """Rows section, session_id, id, cost of a bounded context: the task is paid first, state takes at most its share, recent turns the rest."""
-    left = budget - len(task.split())
-    if left < 0:
-        raise ValueError("the task alone is larger than the budget")
-    cap = min(left, int(budget * state_share))
-    state = state_section(items, cap).select(F.lit("state").alias("section"), "session_id", "id", "cost")
-    spent = state.groupBy("session_id").agg(F.sum("cost").alias("used"))
-    order = L.recent_window(log, left)
-    recent = order.join(spent, "session_id", "left").where(F.col("spent") <= left - F.coalesce("used", F.lit(0))).select(F.lit("recent").alias("section"), "session_id", "id", "cost")
-    return state.unionByName(recent)
+def absolute_locations(references: DataFrame) -> DataFrame:
+    """id, code of archive references(id, location) that name a path of the machine that built them."""
+    return references.where(F.startswith("location", F.lit("/"))).select("id", F.lit("absolute_path").alias("code"), F.lit(None).cast("int").alias("shape"))
 
 
-def validate(evidence: DataFrame, items: DataFrame, log: DataFrame) -> DataFrame:
-    """Findings on evidence(id, item_id, record_id, content, hash): severity, code and id, one union of rules.
+def validate(packages: DataFrame, items: DataFrame, evidence: DataFrame, log: DataFrame | None = None, version: int = 1, state_version: int = 1) -> DataFrame:
+    """severity, code, package_id, id: what is wrong with packages, errors first by severity.
 
-    Errors: evidence whose hash differs, or whose record the log does not hold; warnings:
-    evidence of no item and active items without evidence.
+    packages(package_id, session_id, format_version, state_version, content_hash, expected_hash,
+    archive_session_id, record_hashes), items(package_id, id, session_id, status, supersedes),
+    evidence(package_id, item_id, seqs). With a log the cited records are checked too.
     """
-    of = lambda rows, severity, code: rows.select(F.lit(severity).alias("severity"), F.lit(code).alias("code"), "id")
-    records = log.select(F.col("id").alias("record_id")).distinct()
-    known = items.select(F.col("id").alias("item_id"))
-    described = evidence.select(F.col("item_id").alias("id")).distinct()
-    rules = [
-        of(evidence.where(F.col("hash") != F.sha2("content", 256)), "error", "hash_mismatch"),
-        of(evidence.join(records, "record_id", "left_anti"), "error", "unresolved_record"),
-        of(evidence.join(known, "item_id", "left_anti"), "warning", "orphan_evidence"),
-        of(items.where("status = 'active'").join(described, "id", "left_anti"), "warning", "undescribed_item"),
+
+    def of(rows: DataFrame, severity: str, code: str, id: str | None = None) -> DataFrame:
+        return rows.select(F.lit(severity).alias("severity"), F.lit(code).alias("code"), "package_id", (F.col(id).cast("string") if id else F.lit(None).cast("string")).alias("id"))
+
+    own = items.select("package_id", F.col("id").alias("item_id"))
+    with_session = items.withColumnRenamed("session_id", "own").join(packages.select("package_id", "session_id"), "package_id")
+    claims = items.where("supersedes is not null").select("package_id", "id", F.col("supersedes").alias("item_id"))
+    found = [
+        of(packages.where(F.col("format_version") > version), "error", "unreadable_version"),
+        of(packages.where(F.col("state_version") > state_version), "error", "unreadable_state_schema"),
+        of(packages.where(~F.col("content_hash").eqNullSafe(F.col("expected_hash"))), "error", "hash_mismatch"),
+        of(items.groupBy("package_id", "id").count().where("count > 1"), "error", "duplicate_state", "id"),
+        of(with_session.where("own <> session_id"), "error", "foreign_state", "id"),
+        of(items.where("status = 'superseded'"), "error", "superseded_included", "id"),
+        of(evidence.join(own, ["package_id", "item_id"], "left_anti"), "error", "orphan_evidence", "item_id"),
+        of(own.join(evidence, ["package_id", "item_id"], "left_anti").distinct(), "warning", "state_without_evidence", "item_id"),
+        of(evidence.where(F.coalesce(F.size("seqs"), F.lit(0)) <= 0), "warning", "unresolvable_provenance", "item_id"),
+        of(claims.join(own, ["package_id", "item_id"], "left_anti"), "warning", "supersedes_absent", "id"),
+        of(packages.where("record_hashes is null"), "warning", "no_archive_reference"),
     ]
-    out = rules[0]
-    for r in rules[1:]:
-        out = out.unionByName(r)
+    if log is not None:
+        named = packages.where("record_hashes is not null")
+        cited = named.select("package_id", F.col("archive_session_id").alias("session_id"), F.explode("record_hashes").alias("seq", "expected"))
+        against = cited.join(log.select("session_id", "seq", "hash", F.lit(True).alias("there")), ["session_id", "seq"], "left")
+        shown = evidence.select("package_id", F.explode("seqs").alias("seq")).join(packages.select("package_id", "session_id"), "package_id")
+        found += [
+            of(named.where(~F.col("archive_session_id").eqNullSafe(F.col("session_id"))), "error", "archive_session_mismatch"),
+            of(against.where("there is null"), "error", "cited_record_missing", "seq"),
+            of(against.where(F.col("there") & ~F.col("hash").eqNullSafe(F.col("expected"))), "error", "cited_record_changed", "seq"),
+            of(shown.join(log.select("session_id", "seq"), ["session_id", "seq"], "left_anti").distinct(), "warning", "evidence_outside_archive", "seq"),
+        ]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
     return out
 
 
+def report(findings: DataFrame, packages: DataFrame) -> DataFrame:
+    """package_id, errors, warnings, valid for every package."""
+    counts = findings.groupBy("package_id").agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
+    held = packages.select("package_id").join(counts, "package_id", "left")
+    return held.select("package_id", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("errors", "warnings")]).withColumn("valid", F.col("errors") == 0)
+
+
+def ordered(findings: DataFrame) -> DataFrame:
+    """Errors before warnings, then by package, code and id."""
+    return findings.orderBy(F.when(F.col("severity") == "error", 0).otherwise(1), "package_id", "code", "id")
+
+
 def render(sections: DataFrame, target: str) -> DataFrame:
     """sections(package_id, rank, section, text) -> package_id, body: the request of a target as JSON; an unknown target is generic."""
     whole = F.array_sort(F.collect_list(F.struct("rank", "section", "text")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillstone.sources.store import with_hash
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -13,9 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """session_id, seq, id, kind, payload, hash: one row for each turn of a conversation."""
     c = table(spark, sf_dir, "conversations")
-    return c.select(
-        F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("seq"), F.concat_ws("-", "conv_id", "turn").alias("id"), F.concat("role", F.lit("_message")).alias("kind"), F.col("text").alias("payload"), F.sha2("text", 256).alias("hash")
+    rows = c.select(
+        F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("seq"), F.concat_ws("-", "conv_id", "turn").alias("id"), F.concat("role", F.lit("_message")).alias("kind"), F.col("text").alias("payload")
     )
+    return with_hash(rows)
 
 
 def thread(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +42,7 @@ def state_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n % 13 == 0, "critical").when(n % 5 == 0, "ephemeral").otherwise("durable").alias("retention"),
         F.when(F.col("event_type") == "click", F.get_json_object("props", "$.k")).alias("subject"),
         F.col("ts").alias("created_at"),
+        F.when((F.col("event_type") == "purchase") & (n % 2 == 0), F.concat(F.lit("paid "), "props")).alias("rationale"),
         F.when(F.col("value") > 40, before).cast("string").alias("supersedes"),
     )
 

@@ -14,6 +14,7 @@ from quillstone.operators import log as L
 from quillstone.operators import state as S
 from quillstone.operators import thread as H
 from quillstone.operators.retrieval import search
+from quillstone.plans import compile as K
 from quillstone.plans import package as P
 from quillstone.plans.compaction import compaction_plan
 from quillstone.sources import jsonl
@@ -76,7 +77,7 @@ def test_live_branch(spark):
 
 def test_compile_fits_budget(spark):
     items, log, budget = state_items(spark, SF), archive(spark, SF), 120
-    got = P.compile_context(items, log, "go on with the work", budget)
+    got = K.compile_context(items, log, "go on with the work", budget)
     used = {}
     for r in got.collect():
         used.setdefault(r["session_id"], {"state": 0, "recent": 0})[r["section"]] += r["cost"]
@@ -127,7 +128,7 @@ def test_allocate():
 
 def test_empty_state_and_results(spark):
     items = state_items(spark, SF).where("false")
-    for df in (S.current(items), S.newest(items), S.duplicate_active(items), S.supersession_forks(items), S.dangling(items), P.state_section(items, 9), X.literals(archive(spark, SF).where("false"))):
+    for df in (S.current(items), S.newest(items), S.duplicate_active(items), S.supersession_forks(items), S.dangling(items), K.state_section(items, 9), X.literals(archive(spark, SF).where("false"))):
         assert df.count() == 0
 
 
