@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.base import documents, load
+from quillstone.llm.base import cut, documents, let, load
 
 SEPARATORS = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
 GRAM = 3
@@ -44,7 +44,6 @@ NOTICES = [
 def words(text: Column) -> Column:
     """Runs of digits, letters and everything above ASCII. Of the letters that lower() folds besides A-Z only the
     Kelvin sign becomes an ASCII letter (k), which no fixed phrase holds; word bounds are the same either way."""
-    from quillstone.llm.base import let
 
     def inner(w: Column) -> Column:
         first, last = F.when(F.get(w, F.lit(0)) == "", 2).otherwise(1), F.when(F.get(w, F.size(w) - 1) == "", 1).otherwise(0)
@@ -60,14 +59,42 @@ def template_table(spark: SparkSession, templates: list[Template]) -> DataFrame:
         w = t.text.split()
         if not GRAM <= len(w) <= 62:
             raise ValueError(f"a template has {GRAM} to 62 words: {t.text}")
-        rows += [(" ".join(w[i : i + GRAM]), number, i, len(w) - GRAM + 1, t.label, t.exact) for i in range(len(w) - GRAM + 1)]
-    return spark.createDataFrame(rows, "gram string, template int, t_pos int, n_grams int, label string, exact boolean").withColumn("gram_hash", F.xxhash64("gram")).withColumnRenamed("gram", "t_gram")
+        rows += [(w[i : i + GRAM], number, i, len(w) - GRAM + 1, t.label, t.exact) for i in range(len(w) - GRAM + 1)]
+    held = spark.createDataFrame(rows, "t_gram array<string>, template int, t_pos int, n_grams int, label string, exact boolean")
+    return held.withColumn("gram_hash", gram_hash(F.col("t_gram"), F.lit(0)))
+
+
+def gram_hash(w: Column, at: Column) -> Column:
+    return F.xxhash64(*[F.get(w, at + k) for k in range(GRAM)])
+
+
+def rolled(docs: DataFrame, templates: DataFrame) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, text_hash, n_words, grams: position, hash and words of the rolling k-grams whose hash a template has.
+
+    Every text is split once. The templates' hashes are few and thin the k-grams out
+    before these become rows of the join.
+    """
+    known = [r[0] for r in templates.select("gram_hash").distinct().collect()]
+
+    def hits(w: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.size(w) - GRAM), lambda i: gram_hash(w, i).isin(known))
+        found = F.transform(places, lambda i: F.struct(i.alias("pos"), gram_hash(w, i).alias("gram_hash"), F.slice(w, i + 1, GRAM).alias("gram")))
+        return F.struct(F.size(w).cast("bigint").alias("n_words"), F.when(F.size(w) >= GRAM, found).alias("grams"))
+
+    held = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), let(words(F.col("text")), hits).alias("h"))
+    return held.select("doc_id", "text_hash", "h.n_words", "h.grams")
 
 
 def scan(docs: DataFrame, templates: list[Template], min_cover: float = 0.6, max_shift: int = 2) -> DataFrame:
-    """Places of templates in docs(doc_id, text): doc_id, text_hash, label, exact, start, end, cover.
+    """Places of templates in docs(doc_id, text): doc_id, text_hash, label, exact, start, end, cover, found; see places."""
+    known = template_table(docs.sparkSession, templates)
+    return places(cut(rolled(docs, known), "grams"), known, min_cover, max_shift)
+
+
+def places(grams: DataFrame, templates: DataFrame, min_cover: float = 0.6, max_shift: int = 2) -> DataFrame:
+    """Places of templates among rolled k-grams.
 
-    All rolling k-grams meet the template positions by hash (and must be equal word
+    The k-grams meet the template positions by hash (and must be equal word
     for word); hits add up per diagonal, text position minus template position. An
     exact phrase stands where its diagonal is full. Diagonals of a notice that lie
     within ``max_shift`` of one another are one place; it counts when it covers
@@ -75,21 +102,18 @@ def scan(docs: DataFrame, templates: list[Template], min_cover: float = 0.6, max
     Only hits are shuffled, after they are summed per diagonal; null and short texts
     have none. Rows equal in id and text count once.
     """
-    spark = docs.sparkSession
     key = ["doc_id", "text_hash"]
-    held = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
-    grams = F.when(F.size("w") >= GRAM, F.transform(F.sequence(F.lit(0), F.size("w") - GRAM), lambda i: F.concat_ws(" ", *[F.get("w", i + k) for k in range(GRAM)])))
-    rolled = held.where(F.size("w") >= GRAM).select(*key, F.posexplode(grams).alias("pos", "gram")).withColumn("gram_hash", F.xxhash64("gram"))
-    hits = rolled.join(F.broadcast(template_table(spark, templates)), "gram_hash").where("gram = t_gram")
+    each = grams.select(*key, F.explode("grams").alias("g")).select(*key, "g.pos", "g.gram_hash", "g.gram")
+    hits = each.join(F.broadcast(templates), "gram_hash").where("gram = t_gram")
     vote = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("t_pos"))
     diagonals = hits.groupBy(*key, "template", "label", "exact", "n_grams", (F.col("pos") - F.col("t_pos")).alias("diagonal")).agg(F.bit_or(vote).alias("votes"), F.min("pos").alias("start"), (F.max("pos") + GRAM).alias("end"))
     order = Window.partitionBy(*key, "template").orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > F.when(F.col("exact"), 0).otherwise(max_shift), F.lit(True))
     merged = diagonals.withColumn("apart", apart.cast("int")).withColumn("place", F.sum("apart").over(order))
-    places = merged.groupBy(*key, "template", "label", "exact", "n_grams", "place").agg(F.bit_or("votes").alias("votes"), F.min("start").alias("start"), F.max("end").alias("end"))
+    merged = merged.groupBy(*key, "template", "label", "exact", "n_grams", "place").agg(F.bit_or("votes").alias("votes"), F.min("start").alias("start"), F.max("end").alias("end"))
     cover = F.bit_count("votes") / F.col("n_grams")
     fits = F.when(F.col("exact"), F.bit_count("votes") == F.col("n_grams")).otherwise((cover >= min_cover) & ((F.col("end") - F.col("start")) <= 1.5 * (F.col("n_grams") + GRAM - 1)))
-    return places.select(*key, "label", "exact", "start", "end", cover.alias("cover"), fits.alias("found"))
+    return merged.select(*key, "label", "exact", "start", "end", cover.alias("cover"), fits.alias("found"))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,8 +123,9 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     label count once in the lists, every place counts in n_base. Repeated rows give
     repeated rows, an empty table an empty result; further columns are ignored.
     """
-    docs = documents(load(spark, sf_dir, "documents"))
-    found = scan(docs, PHRASES + NOTICES)
+    known = template_table(spark, PHRASES + NOTICES)
+    grams = cut(rolled(documents(load(spark, sf_dir, "documents")), known), "grams")
+    found = places(grams, known)
     base = F.col("exact") & F.col("found")
     listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     by_doc = found.groupBy("doc_id", "text_hash").agg(
@@ -111,7 +136,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         listed(F.when(F.col("found"), F.col("label"))).alias("labels"),
         F.max("cover").alias("score"),
     )
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.size(words(F.col("text"))).cast("bigint").alias("n_words")).alias("d")
+    rows = grams.select("doc_id", "text_hash", "n_words").alias("d")
     joined = rows.join(by_doc.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.text_hash") == F.col("h.text_hash")), "left")
     return joined.select(
         "d.doc_id",
