@@ -173,8 +173,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, identit
     ``min_words`` words or more (or the whole item, if that is shorter) has ``identity``
     of them alike; the row is of the longest such stretch. A stretch is followed for ``reach`` words beyond its outer seeds.
     Items of under 6 words have masks of their own. Null texts have no words; rows equal in id and text count once; an empty table on either side gives
-    an empty result. The seeds of the benchmark are broadcast up to
-    ``broadcast_rows`` of them, beyond that the join is shuffled.
+    an empty result. The seeds of the benchmark, and the words of its items, are
+    broadcast up to ``broadcast_rows`` of them each, beyond that the joins are shuffled.
     """
     spark = docs.sparkSession
     items = cut(benchmark_seeds(benchmark), "item-seeds")
@@ -184,8 +184,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, identit
     small = items.count() <= broadcast_rows
     met = hits.join(F.broadcast(items) if small else items, "seed")
     diagonals = cut(met.groupBy("region", "item_id", "item_hash", (F.col("doc_at") - F.col("at")).alias("diagonal")).agg(F.min("at").alias("item_at")), "diagonals")
-    texts = word_hashes(benchmark.withColumn("item_hash", F.xxhash64("text")), "item_id", "item_hash").distinct().withColumnRenamed("words", "item_words")
-    joined = diagonals.join(F.broadcast(texts) if small else texts, ["item_id", "item_hash"]).join(stretches.select("region", "doc_id", "start", "words"), "region")
+    seeded = items.select("item_id", "item_hash").distinct()
+    texts = cut(word_hashes(benchmark.withColumn("item_hash", F.xxhash64("text")), "item_id", "item_hash").distinct().withColumnRenamed("words", "item_words").join(F.broadcast(seeded) if small else seeded, ["item_id", "item_hash"], "left_semi"), "item-texts")
+    light = (texts.agg(F.sum(F.size("item_words"))).first()[0] or 0) <= broadcast_rows
+    joined = diagonals.join(F.broadcast(texts) if light else texts, ["item_id", "item_hash"]).join(stretches.select("region", "doc_id", "start", "words"), "region")
     doc_kind, item_kind = _kind(docs, "doc_id"), _kind(benchmark, "item_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
