@@ -19,10 +19,12 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a fresh local one only where none is named."""
+    """The folder that the cluster names in spark.checkpoint.dir; a fresh local one only where none is named and the driver is the only executor."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not own.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = own.get() if own.isDefined() else f"file://{tempfile.mkdtemp(prefix='quillstone-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

@@ -49,7 +49,7 @@ def repeated_words(words: Column, n: Column, window: int = 3) -> Column:
         return F.when(F.size(packed) < 2, F.lit(0).cast("bigint")).otherwise(F.aggregate(places, start, step, lambda acc: acc["sum"]))
 
     def bits_of(mask: Column) -> Column:
-        return F.length(F.bin(mask)).cast("int")
+        return F.bit_count(mask)
 
     def keys(w: Column, mask: Column) -> Column:
         hashed = lambda i: F.xxhash64(*[F.get(w, i.cast("int") + k) for k in range(window)])

@@ -24,9 +24,9 @@ def has_letter(text: str | None) -> bool:
     return any(m.group().isalpha() for m in LETTER.finditer(text or ""))
 
 
-def pieces(texts: list[str | None], overlap: int) -> Iterator[tuple[list[int], list[np.ndarray]]]:
-    """Texts as code points with a space before and after, in groups of about PIECE; long texts go in overlapping pieces."""
-    rows, parts, size = [], [], 0
+def pieces(texts: list[str | None], overlap: int) -> Iterator[tuple[list[int], list[np.ndarray], list[bool]]]:
+    """Texts as code points with a space before and after, in groups of about PIECE; long texts go in overlapping pieces. Whether a piece goes on."""
+    rows, parts, goes_on, size = [], [], [], 0
     for i, text in enumerate(texts):
         if not text:
             continue
@@ -34,19 +34,20 @@ def pieces(texts: list[str | None], overlap: int) -> Iterator[tuple[list[int], l
         for at in range(0, len(points) - overlap, PIECE):
             rows.append(i)
             parts.append(points[at : at + PIECE + overlap])
+            goes_on.append(at + PIECE < len(points) - overlap)
             size += len(parts[-1])
             if size >= PIECE:
-                yield rows, parts
-                rows, parts, size = [], [], 0
+                yield rows, parts, goes_on
+                rows, parts, goes_on, size = [], [], [], 0
     if rows:
-        yield rows, parts
+        yield rows, parts, goes_on
 
 
-def buckets(parts: list[np.ndarray], orders: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray]:
+def buckets(parts: list[np.ndarray], goes_on: list[bool], orders: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-grams of the parts, one row for each order; 1 << bits where an n-gram would run into the next part. Starts of the parts.
 
-    Pieces of one text overlap by the longest order less one; what shorter orders
-    count twice there is one n-gram in a quarter of a million.
+    Pieces of one text overlap by the longest order less one; n-grams that begin in the
+    overlap belong to the next piece.
     """
     points, ends = np.concatenate(parts), np.cumsum([len(p) for p in parts])
     out = np.full((len(orders), len(points)), 1 << bits, np.int32)
@@ -59,6 +60,8 @@ def buckets(parts: list[np.ndarray], orders: tuple[int, ...], bits: int) -> tupl
         out[k, : len(mixed)] = mixed >> np.uint32(32 - bits)
         for j in range(1, n):
             out[k, ends - j] = 1 << bits
+        for i in np.flatnonzero(goes_on).tolist():
+            out[k, ends[i] - len(parts[i]) + PIECE : ends[i]] = 1 << bits
     return out, np.concatenate(([0], ends[:-1]))
 
 
@@ -72,8 +75,8 @@ class LanguageModel:
 
     def log_densities(self, texts: list[str | None]) -> np.ndarray:
         out = np.tile(self.priors, (len(texts), 1))
-        for rows, parts in pieces(texts, max(self.orders) - 1):
-            hashed, starts = buckets(parts, self.orders, self.bits)
+        for rows, parts, goes_on in pieces(texts, max(self.orders) - 1):
+            hashed, starts = buckets(parts, goes_on, self.orders, self.bits)
             total = self.logs[hashed[0]]
             for h in hashed[1:]:
                 total = total + self.logs[h]
@@ -103,8 +106,8 @@ def learn(rows: DataFrame, orders: tuple[int, ...] = (2, 3), bits: int = 15, alp
                 for lang in langs[at : at + 256]:
                     counts.setdefault(lang, np.zeros((1 << bits) + 2, np.int64))[-1] += 1
                 for lang in set(langs[at : at + 256]):
-                    for _, parts in pieces([t for t, x in zip(texts, langs[at:], strict=False) if x == lang], max(orders) - 1):
-                        hashed, _ = buckets(parts, orders, bits)
+                    for _, parts, goes_on in pieces([t for t, x in zip(texts, langs[at:], strict=False) if x == lang], max(orders) - 1):
+                        hashed, _ = buckets(parts, goes_on, orders, bits)
                         counts[lang][:-1] += np.bincount(hashed.ravel(), minlength=(1 << bits) + 1)
         for lang, c in counts.items():
             at = np.flatnonzero(c)
@@ -121,10 +124,9 @@ def learn(rows: DataFrame, orders: tuple[int, ...] = (2, 3), bits: int = 15, alp
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """docs with lang_pred and score; the model's matrix is broadcast, its size is languages x buckets."""
+    """docs with lang_pred and score in place of older columns of these names; the model's matrix is broadcast, its size is languages x buckets."""
+    docs = docs.drop("lang_pred", "score")
     shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
-    if {"lang_pred", "score"} & set(names):
-        raise ValueError("docs already has lang_pred or score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

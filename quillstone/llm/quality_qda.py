@@ -19,7 +19,7 @@ LOGGED = {"mean_word_chars", "words_per_line", "words"}
 
 @dataclass
 class Discriminant:
-    """Per class: mean, Cholesky factor of the shrunk covariance and log of prior over its determinant."""
+    """Per class: mean, inverse of the Cholesky factor of the shrunk covariance, and log of prior over its determinant."""
 
     means: np.ndarray
     factors: np.ndarray
@@ -29,7 +29,7 @@ class Discriminant:
         """P(label 1) of each row, from the difference of the two Mahalanobis log densities."""
         dens = []
         for mean, factor, offset in zip(self.means, self.factors, self.offsets, strict=True):
-            z = np.linalg.solve(factor, (x - mean).T)
+            z = factor @ (x - mean).T
             dens.append(offset - 0.5 * np.einsum("ij,ij->j", z, z))
         return 1.0 / (1.0 + np.exp(np.clip(dens[0] - dens[1], -700, 700)))
 
@@ -62,8 +62,9 @@ def learn(rows: DataFrame, shrinkage: float = 0.2, ridge: float = 1e-3) -> Discr
         counts.append(n)
     pooled = sum(c * n for c, n in zip(covs, counts, strict=True)) / total
     factors = [np.linalg.cholesky((1 - shrinkage) * c + shrinkage * pooled + ridge * np.eye(len(names))) for c in covs]
+    whitening = [np.linalg.inv(f) for f in factors]
     offsets = [np.log(n / total) - np.log(np.diag(f)).sum() for n, f in zip(counts, factors, strict=True)]
-    return Discriminant(np.array(means), np.array(factors), np.array(offsets))
+    return Discriminant(np.array(means), np.array(whitening), np.array(offsets))
 
 
 def score(stats: DataFrame, model: Discriminant | None) -> DataFrame:

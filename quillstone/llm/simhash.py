@@ -37,8 +37,8 @@ def fingerprint(text: bytes | None, shingle: int = 3, step: int = 1 << 16) -> in
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """docs(doc_id, text, ...) -> the same columns without text, with fp (the 64 bits as a signed bigint)."""
-    kept = [f for f in docs.schema if f.name != "text"]
+    """docs(doc_id, text, ...) -> the same columns without text, with fp (the 64 bits as a signed bigint) in place of older ones of that name."""
+    kept = [f for f in docs.schema if f.name not in ("text", "fp", "component_id")]
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

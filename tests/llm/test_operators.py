@@ -93,7 +93,7 @@ def test_long_text_in_pieces_scores_like_one(monkeypatch):
     text = words_text(random.Random(2), 4000)
     whole = model.log_densities([text, "bada"])
     monkeypatch.setattr(language_id, "PIECE", 1000)
-    assert np.allclose(whole, model.log_densities([text, "bada"]), rtol=0.02)
+    assert np.allclose(whole, model.log_densities([text, "bada"]), rtol=1e-6)
 
 
 def test_license_base_equals_brute_force(spark, docs_of):
