@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,11 @@ UNGROUNDED = (
 ).split()
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased words and dotted numbers, in order."""
     return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), F.lower)
@@ -86,8 +93,8 @@ def excerpt(text: Column, terms: list[str], before: int = 80, length: int = 240)
 def overlap(claim: Column, source: Column) -> Column:
     """Share of the claim's distinctive words that stand somewhere in the source; 1 if it has none."""
     own = F.array_distinct(F.filter(F.regexp_extract_all(F.lower(claim), F.lit(r"[a-z0-9][a-z0-9._-]*"), F.lit(0)), lambda w: (F.length(w) > 2) & ~w.isin(UNGROUNDED)))
-    hit = F.size(F.filter(own, lambda w: F.contains(F.lower(source), w)))
-    return F.when(F.size(own) == 0, F.lit(1.0)).otherwise(hit / F.size(own))
+    hits = lambda ws, text: F.size(F.filter(ws, lambda w: F.contains(text, w)))
+    return let(own, lambda ws: F.when(F.size(ws) == 0, F.lit(1.0)).otherwise(let(F.lower(source), lambda text: hits(ws, text)) / F.size(ws)))
 
 
 def unit(value: Column) -> Column:

@@ -46,10 +46,10 @@ def item_findings(items: DataFrame, known: DataFrame, session_id: Column | None
 def _trimmed(words: Column) -> Column:
     """Words without the filler at the end; then the last three, without the filler at their start."""
     says = lambda w: ~F.lower(w).isin(FILLER)
-    last = F.array_max(F.transform(words, lambda w, i: F.when(says(w), i + 1).otherwise(0)))
-    tail = F.slice(words, F.greatest(F.lit(1), F.coalesce(last, F.lit(0)) - 2), F.least(F.lit(3), F.coalesce(last, F.lit(0))))
-    first = F.array_min(F.filter(F.transform(tail, lambda w, i: F.when(says(w), i + 1)), lambda i: i.isNotNull()))
-    return F.when(first.isNull(), F.array().cast("array<string>")).otherwise(F.slice(tail, F.coalesce(first, F.lit(1)), 3))
+    last_of = lambda ws: F.coalesce(F.array_max(F.transform(ws, lambda w, i: F.when(says(w), i + 1).otherwise(0))), F.lit(0))
+    first_of = lambda ws: F.array_min(F.filter(F.transform(ws, lambda w, i: F.when(says(w), i + 1)), lambda i: i.isNotNull()))
+    from_first = lambda ws: T.let(first_of(ws), lambda first: F.when(first.isNull(), F.array().cast("array<string>")).otherwise(F.slice(ws, F.coalesce(first, F.lit(1)), 3)))
+    return T.let(words, lambda ws: T.let(last_of(ws), lambda last: T.let(F.slice(ws, F.greatest(F.lit(1), last - 2), F.least(F.lit(3), last)), from_first)))
 
 
 def label(before: Column, after: Column) -> Column:
@@ -57,9 +57,9 @@ def label(before: Column, after: Column) -> Column:
     left = F.element_at(F.split(F.right(before, F.lit(90)), SENTENCE_END), -1)
     head = F.array_join(_trimmed(F.regexp_extract_all(left, F.lit(LABEL), F.lit(0))), " ")
     right = F.element_at(F.split(F.left(after, F.lit(14)), SENTENCE_END), 1)
-    unit = F.regexp_extract(right, LABEL, 0)
-    unit = F.when(F.lower(unit).isin(FILLER) | (F.length(unit) > 12), "").otherwise(unit)
-    return F.when((head != "") & (unit != ""), F.concat(head, F.lit(" ("), unit, F.lit(")"))).when(head != "", head).otherwise(unit)
+    unit = T.let(F.regexp_extract(right, LABEL, 0), lambda u: F.when(F.lower(u).isin(FILLER) | (F.length(u) > 12), "").otherwise(u))
+    both = lambda h, u: F.when((h != "") & (u != ""), F.concat(h, F.lit(" ("), u, F.lit(")"))).when(h != "", h).otherwise(u)
+    return T.let(head, lambda h: T.let(unit, lambda u: both(h, u)))
 
 
 def stated(log: DataFrame) -> DataFrame:
