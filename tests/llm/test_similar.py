@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from quillstone.llm import similar
+from quillstone.llm import simhash, similar
 
 
 def brute_sets(texts, width=5):
@@ -65,3 +65,29 @@ def test_edges(spark, docs_of):
     got = sorted(((r["doc_id"], r["component_id"]) for r in similar.similar_groups(rows.unionByName(rows.where("doc_id = 8"))).collect()), key=str)
     assert got == sorted([(0, 0), (1, 0), (2, 0), (3, 3), (4, 3), (5, 5), (6, 6), (None, 6), (8, 8), (8, 8)], key=str)
     assert similar.similar_groups(rows.where("false")).count() == 0
+
+
+def test_pipeline_drops_groups_of_fingerprints_and_of_shingles(spark, docs_of):
+    import corpus_pipeline
+
+    rnd, prints = random.Random(7), lambda t: simhash.fingerprint(t.encode())
+    base = [f"w{rnd.randrange(5000)}" for _ in range(900)]
+
+    def changed(words, places):
+        out = list(words)
+        for at in places:
+            out[at] = f"n{rnd.randrange(10**6)}"
+        return out
+
+    def similarity(a, b):
+        one, two = brute_sets([" ".join(a), " ".join(b)])
+        return len(one & two) / len(one | two)
+
+    far = lambda a, b: (prints(" ".join(a)) ^ prints(" ".join(b))).bit_count()
+    close = next(c for c in (changed(base, range(rnd.randrange(30), 900, 38)) for _ in range(3000)) if far(base, c) <= 3)
+    alike = next(c for c in (changed(close, range(0, 900, 70)) for _ in range(3000)) if far(close, c) > 3 and far(base, c) > 3)
+    assert similarity(base, close) < 0.8 <= similarity(close, alike) and similarity(base, alike) < 0.8
+    other = [f"o{rnd.randrange(5000)}" for _ in range(300)]
+    rows = docs_of([" ".join(x) for x in (base, close, alike, other, other)], ids=[3, 5, 4, 9, None])
+    kept = sorted((r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, rows, "").collect()), key=str)
+    assert kept == [3, 9, None]
