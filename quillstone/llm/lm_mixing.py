@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -166,8 +166,8 @@ class Mixer:
         refined = flat.take(cell) * (1 - share) + flat.take(cell + 1) * share
         return np.clip((mixed + refined) * np.float32(0.5), LEAST, 1 - LEAST), mixed, low + (share >= 0.5), share
 
-    def learn(self, inputs: np.ndarray, gate: np.ndarray, bit: np.ndarray, weight: np.ndarray, rate: float) -> None:
-        """One online step over a small batch of bits."""
+    def learn(self, inputs: np.ndarray, gate: np.ndarray, bit: np.ndarray, weight: np.ndarray, rate: float) -> np.ndarray:
+        """One online step over a small batch of bits; the mass by cell of the refining table."""
         _, mixed, near, _ = self.mix(inputs, gate)
         error, mass = (bit - mixed) * weight, np.bincount(gate, weight, GATES)
         for k in range(INPUTS + 1):
@@ -180,6 +180,7 @@ class Mixer:
         seen = got > 0
         step = got[seen] / (got[seen] + 20)
         flat[seen] += 0.5 * step * (ones[seen] / got[seen] - flat[seen])
+        return got.reshape(GATES, GRID)
 
 
 def stretched(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -213,8 +214,9 @@ class Model:
                 total[first:end] *= np.where(bit == 1, p, 1 - p)
         return np.add.reduceat(np.log10(total), text.starts)
 
-    def learn(self, text: Spelled, prefixes: Prefixes, own: np.ndarray, rate: float) -> None:
-        """Online steps of the mixer over the words, each bit predicted from counts less the one occurrence it is."""
+    def learn(self, text: Spelled, prefixes: Prefixes, own: np.ndarray, rate: float) -> np.ndarray:
+        """Online steps of the mixer over the words, each bit predicted from counts less the one occurrence it is; their mass by cell of the refining table."""
+        mass = np.zeros((GATES, GRID))
         n = np.repeat(own, text.lens).astype(np.float64)
         for first, end in text.windows(1 << 13):
             for b, (bit, slots) in enumerate(text.bits(first, end)):
@@ -222,7 +224,8 @@ class Model:
                 two = np.vstack([self.ones.take(slots), prefixes.of(b, first, end)[1]]) - (bit == 1)
                 one, two = np.maximum(one, 0), np.maximum(two, 0)
                 gate = level(one[-1] + two[-1]).astype(np.int32) * LEVELS + level(one[-2] + two[-2])
-                self.mixer.learn(stretched(one, two), gate, bit.astype(np.float64), n[first:end], rate)
+                mass += self.mixer.learn(stretched(one, two), gate, bit.astype(np.float64), n[first:end], rate)
+        return mass
 
 
 class Indexed:
@@ -331,72 +334,125 @@ class Repeats:
             t[0] += np.bincount(c, ~hit, t.shape[1])
 
 
-def learn_repeats(docs: DataFrame, sample: int = 3000) -> Repeats:
-    """docs(text, held_out): learned in one task and a fixed order from about ``sample`` texts that are not held out."""
+def dealt(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[int, pa.Table]]:
+    """(shard, its next ``rows`` rows or the rest of it) from batches in the order of shards; where batches end makes no difference."""
+    held, n, now = [], 0, None
+    for batch in batches:
+        shards = batch.column("shard").to_numpy()
+        cuts = [0, *(np.flatnonzero(shards[1:] != shards[:-1]) + 1).tolist(), len(shards)]
+        for at, end in zip(cuts, cuts[1:], strict=False):
+            if n and at < end and shards[at] != now:
+                yield now, pa.Table.from_batches(held)
+                held, n = [], 0
+            while at < end:
+                now, taken = int(shards[at]), min(end - at, rows - n)
+                held.append(batch.slice(at, taken))
+                at, n = at + taken, n + taken
+                if n == rows:
+                    yield now, pa.Table.from_batches(held)
+                    held, n = [], 0
+    if n:
+        yield now, pa.Table.from_batches(held)
+
+
+def averaged(parts: list[tuple[np.ndarray, np.ndarray]], start: np.ndarray) -> np.ndarray:
+    """The mean of arrays by their masses, ``start`` where none has a mass."""
+    mass = sum((m for _, m in parts), np.zeros(start.shape))
+    return np.where(mass > 0, sum((x * m for x, m in parts), np.zeros(start.shape)) / np.maximum(mass, 1e-300), start)
+
+
+def learn_repeats(docs: DataFrame, per_shard: int = 3000) -> Repeats:
+    """docs(doc_id, text, held_out): learned from all texts that are not held out.
+
+    Texts are dealt by their hash into shards of about ``per_shard`` texts. A shard is
+    read online, in a fixed order; the counts of all shards are added up and the weights
+    are averaged by the questions that they were learned from. So no text is left out,
+    nothing depends on how the table is split, and shards are read side by side.
+    """
     known = docs.where("not held_out and text is not null")
-    one_in = max(1, known.count() // sample)
+    shards = max(1, known.count() // per_shard)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Repeats()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 16):
-                found = Followers(Indexed([tokens(t) for t in batch.column("text").slice(at, 16).to_pylist()]))
-                for _, contexts, hit in found.questions():
+        total = np.zeros((2, sum(Repeats.SIZES)), np.int64)
+        weights: list[tuple[int, list[float]]] = []
+        for shard, pieces in groupby(dealt(batches, 16), key=itemgetter(0)):
+            out, mass = Repeats(), np.zeros(2 * LEVELS)
+            for _, table in pieces:
+                for _, contexts, hit in Followers(Indexed([tokens(t) for t in table.column("text").to_pylist()])).questions():
                     if len(hit):
                         out.learn(contexts, hit)
-        flat = np.concatenate([out.weights.ravel(), *(t.ravel() for t in out.tables)])
-        yield pa.RecordBatch.from_arrays([pa.array([flat.tolist()], pa.list_(pa.float64()))], names=["x"])
-
-    part = known.where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0).select("text").repartition(1).sortWithinPartitions("text")
-    out = Repeats()
-    for r in part.mapInArrow(run, "x array<double>").collect():
-        parts = np.split(np.array(r["x"]), np.cumsum([out.weights.size, *(t.size for t in out.tables)])[:-1])
-        out.weights, out.tables = parts[0].reshape(out.weights.shape), [x.reshape(2, -1) for x in parts[1:]]
+                        mass += np.bincount(contexts[0], minlength=len(mass))
+            total += np.rint(np.concatenate(out.tables, axis=1) - np.concatenate(Repeats().tables, axis=1)).astype(np.int64)
+            weights.append((shard, [*out.weights.ravel().tolist(), *mass.tolist()]))
+        cells = np.flatnonzero(total.any(axis=0))
+        none, empty = [None] * len(weights), [None] * len(cells)
+        columns = [[s for s, _ in weights] + empty, none + cells.tolist(), *(none + t[cells].tolist() for t in total), [w for _, w in weights] + empty]
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float64())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["shard", "cell", "misses", "hits", "weights"])
+
+    hashed = F.xxhash64("doc_id", "text")  # not the text alone: copies are dealt out
+    part = known.select(F.pmod(hashed, F.lit(shards)).alias("shard"), hashed.alias("h"), "text").repartition("shard").sortWithinPartitions("shard", "h", "text").select("shard", "text")
+    found = part.mapInArrow(run, "shard bigint, cell int, misses bigint, hits bigint, weights array<double>").groupBy("shard", "cell").agg(F.sum("misses").alias("misses"), F.sum("hits").alias("hits"), F.max("weights").alias("weights")).collect()
+    out, total, parts = Repeats(), np.zeros((2, sum(Repeats.SIZES))), []
+    for r in sorted((r for r in found if r["cell"] is None), key=itemgetter("shard")):
+        x, mass = np.array(r["weights"][: out.weights.size]).reshape(out.weights.shape), np.array(r["weights"][out.weights.size :])
+        parts.append((x, np.repeat(mass[:, None], x.shape[1], axis=1)))
+    for r in found:
+        if r["cell"] is not None:
+            total[:, r["cell"]] = r["misses"], r["hits"]
+    out.weights = averaged(parts, out.weights)
+    out.tables = [t + c for t, c in zip(out.tables, np.split(total, np.cumsum(Repeats.SIZES)[:-1], axis=1), strict=True)]
     return out
 
 
+#: Slots of the hashed words that tell classes.
+BUCKETS = 1 << 15
+
+
+def buckets(words: list[bytes]) -> np.ndarray:
+    return np.fromiter((zlib.crc32(w) & (BUCKETS - 1) for w in words), np.int64, len(words))
+
+
 @dataclass
 class Classes:
-    """Classes of texts (the more frequent languages) told apart by the common words of a bounded sample."""
+    """Classes of texts (the more frequent languages) told apart by all their words, in hashed buckets."""
 
-    place: dict[bytes, int]
-    logs: np.ndarray  # (common words + 1, classes); the last row is 0
+    logs: np.ndarray  # (buckets, classes)
     priors: np.ndarray
 
     def of(self, texts: Indexed) -> list[int]:
         """The class of each text."""
         if len(self.priors) == 1 or not len(texts.lens):
             return [0] * len(texts.lens)
-        get, other = self.place.get, len(self.place)
-        rows = np.array([get(t, other) for t in texts.distinct])[texts.ids]
+        rows = buckets(texts.distinct)[texts.ids]
         sums = [np.add.reduceat(log.take(rows), texts.starts) for log in np.ascontiguousarray(self.logs.T)]
         return (np.stack(sums, axis=1) + self.priors).argmax(axis=1).tolist()
 
 
-def learn_classes(docs: DataFrame, sample: int = 5000, most: int = 8, common: int = 4096) -> Classes:
-    """docs(doc_id, text, lang, held_out): naive Bayes over the ``common`` most frequent words of about ``sample`` texts that are not held out."""
+def learn_classes(docs: DataFrame, most: int = 8) -> Classes:
+    """docs(text, lang, held_out): naive Bayes over the hashed words of all texts with a language that are not held out."""
     told = docs.where("lang is not null and not held_out")
     sizes = told.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()
     if len(sizes) < 2:
-        return Classes({}, np.zeros((1, 1)), np.zeros(1))
+        return Classes(np.zeros((1, 1)), np.zeros(1))
     place, total = {r["lang"]: i for i, r in enumerate(sizes)}, sum(r["count"] for r in sizes)
+    columns = [f"n{k}" for k in range(len(place))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, Counter] = {}
+        sums = np.zeros((len(place), BUCKETS), np.int64)
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if lang in place:
-                    counts.setdefault(lang, Counter()).update(tokens(text))
-        for lang, c in counts.items():
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array([place[lang]] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())], names=["token", "z", "n"])
-
-    part = told.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(min(1.0, sample / total) * 1_000_000))
-    sums = part.select("text", "lang").mapInArrow(run, "token binary, z int, n bigint").groupBy("token").agg(*[F.sum(F.when(F.col("z") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(len(place))])
-    columns = [f"n{k}" for k in range(len(place))]
-    rows = sums.withColumn("n", sum((F.col(c) for c in columns), F.lit(0))).orderBy(F.desc("n"), "token").limit(common).collect()
-    table = np.array([[r[c] for c in columns] for r in rows]).reshape(-1, len(columns)) + 0.5
-    logs = np.vstack([np.log(table / table.sum(axis=0)), np.zeros(len(columns))])
-    return Classes({bytes(r["token"]): i for i, r in enumerate(rows)}, logs, np.log(np.array([r["count"] for r in sizes]) / total))
+            for first, end in groups(batch.column("text"), 1 << 20):
+                part = batch.slice(first, end - first)
+                words = Indexed([tokens(t) for t in part.column("text").to_pylist()])
+                cells = np.repeat([place.get(x, -1) for x in part.column("lang").to_pylist()], words.lens) * BUCKETS + buckets(words.distinct)[words.ids]
+                sums += np.bincount(cells[cells >= 0], minlength=sums.size).reshape(sums.shape)
+        at = np.flatnonzero(sums.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(s[at]) for s in sums)], names=["bucket", *columns])
+
+    found = told.select("text", "lang").mapInArrow(run, ", ".join(["bucket int", *(f"{c} bigint" for c in columns)])).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in columns]).toArrow()
+    table = np.full((BUCKETS, len(columns)), 0.5)
+    table[found.column("bucket").to_numpy()] += np.stack([found.column(c).to_numpy() for c in columns], axis=1)
+    return Classes(np.log(table / table.sum(axis=0)), np.log(np.array([r["count"] for r in sizes]) / total))
 
 
 def count_tokens(docs: DataFrame, classes: Classes, most: int = 200_000) -> DataFrame:
@@ -532,12 +588,13 @@ def grouped(batches: Iterator[pa.RecordBatch], heads: dict[tuple[int, bytes], np
         yield of(pa.Table.from_batches(held))
 
 
-def token_costs(vocabulary: DataFrame, words: int, sample: int = 200_000, rate: float = 0.15) -> DataFrame:
+def token_costs(vocabulary: DataFrame, words: int, per_shard: int = 200_000, rate: float = 0.15) -> DataFrame:
     """vocabulary(token, c, z, own) with cost, the model's log10 probability of the token in a text of the class.
 
-    The predictors count all tokens. The mixer's weights are learned online, in one
-    task and a fixed order, from the whole groups of a sample of about ``sample`` words,
-    so scores don't depend on how the table is split.
+    The predictors count all tokens. The mixer is learned from all of them: whole groups
+    are dealt by their hash into shards of about ``per_shard`` words, each read online in
+    a fixed order, and the shards' weights and refining tables are averaged by the
+    occurrences they were learned from, so scores don't depend on how the table is split.
     """
     spark = vocabulary.sparkSession
     model = Model.new()
@@ -550,16 +607,21 @@ def token_costs(vocabulary: DataFrame, words: int, sample: int = 200_000, rate:
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, heads = shared.value
-        model = Model(model.zeros, model.ones, Mixer.new())
-        for table, text, prefixes in grouped(batches, heads):
-            model.learn(text, prefixes, table.column("own").to_numpy(), rate)
-        yield pa.RecordBatch.from_arrays([pa.array([x.ravel().tolist()], pa.list_(pa.float64())) for x in (model.mixer.weights, model.mixer.refine)], names=["weights", "refine"])
-
-    one_in = max(1, words // sample)
-    part = keyed.where((F.pmod(F.xxhash64("z", "head"), F.lit(one_in)) == 0) & (F.col("own") > 0))
-    learned = part.repartition(1).sortWithinPartitions(F.xxhash64("z", "head"), "z", "head", spelled).mapInArrow(train, "weights array<double>, refine array<double>").collect()
-    for r in learned:
-        model.mixer = Mixer(np.array(r["weights"]).reshape(GATES, -1), np.array(r["refine"]).reshape(GATES, GRID))
+        for shard, pieces in groupby(dealt(batches, 4096), key=itemgetter(0)):
+            model, mass = Model(model.zeros, model.ones, Mixer.new()), np.zeros((GATES, GRID))
+            for table, text, prefixes in grouped((b for _, t in pieces for b in t.combine_chunks().to_batches()), heads):
+                mass += model.learn(text, prefixes, table.column("own").to_numpy(), rate)
+            flat = [pa.array([x.ravel().tolist()], pa.list_(pa.float64())) for x in (model.mixer.weights, model.mixer.refine, mass)]
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), *flat], names=["shard", "weights", "refine", "mass"])
+
+    hashed = F.xxhash64("z", "head")
+    part = keyed.where("own > 0").select(F.pmod(hashed, F.lit(max(1, words // per_shard))).alias("shard"), hashed.alias("h"), "z", "head", "token", "own")
+    learned = part.repartition("shard").sortWithinPartitions("shard", "h", "z", "head", spelled).mapInArrow(train, "shard bigint, weights array<double>, refine array<double>, mass array<double>").collect()
+    each = [[np.array(r[c]).reshape(GATES, -1) for c in ("weights", "refine", "mass")] for r in sorted(learned, key=itemgetter("shard"))]
+    model.mixer = Mixer(
+        averaged([(w, np.repeat(m.sum(axis=1, keepdims=True), w.shape[1], axis=1)) for w, _, m in each], model.mixer.weights),
+        averaged([(r, m) for _, r, m in each], model.mixer.refine),
+    )
     mixer = model.mixer
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -589,7 +651,7 @@ def scored(docs: DataFrame, most_common: int = 1 << 17) -> DataFrame:
     """docs(doc_id, text, lang, held_out) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
 
     The model sees a text as its lower-cased words and one end, like the base: first
-    its class (a language, told from its common words); then for each word, whether it
+    its class (a language, told from its words); then for each word, whether it
     is the one that followed when the two words before (then the one word before) stood
     last in the text; if not, its bytes, 8 binary decisions each. All decisions are
     mixed predictions, and the probabilities of all texts add up to at most one. The
