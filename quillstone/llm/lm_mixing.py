@@ -6,11 +6,13 @@ import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import chain, groupby
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,19 +36,26 @@ def tokens(text: bytes | None) -> list[bytes]:
     return [*(text or b"").lower().split(), b""]
 
 
+def joined(words: pa.Array) -> np.ndarray:
+    """The bytes of words, each ended by a space."""
+    whole = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+    return np.append(np.frombuffer(pc.binary_join(whole, b" ")[0].as_buffer(), np.uint8), np.uint8(32))
+
+
 class Spelled:
     """Words one after the other, each ended by a space: bytes, their place in the word, their class, and where words start."""
 
-    def __init__(self, words: list[bytes], classes: np.ndarray):
-        self.data = np.frombuffer(b" ".join(words) + b" ", np.uint8)
-        lens = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
+    def __init__(self, words: pa.Array | list[bytes], classes: np.ndarray):
+        words = words if isinstance(words, pa.Array) else pa.array(words, pa.binary())
+        self.data = joined(words)
+        lens = pc.binary_length(words).to_numpy().astype(np.int64) + 1
         self.starts = np.cumsum(lens) - lens
         self.lens = lens
         self.place = (np.arange(len(self.data)) - np.repeat(self.starts, lens)).astype(np.int32)
         self.classes = np.repeat(classes.astype(np.uint8) + np.uint8(1), lens)
 
-    def bits(self, first: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each of the 8 bits of the bytes from first to end: the bits, and their slots in the hashed predictors' tables."""
+    def bits(self, first: int, end: int, some: np.ndarray | slice = slice(None)) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each of the 8 bits of (some of) the bytes from first to end: the bits, and their slots in the hashed predictors' tables."""
         at = max(0, first - BACK)
         data, place = self.data[at:end].astype(np.uint64), self.place[at:end]
         contexts = []
@@ -57,16 +66,16 @@ class Spelled:
                 earlier[j:] = data[:-j] if j < len(data) else 0
                 held |= np.where(place >= j, earlier + np.uint64(1), 0).astype(np.uint64) << np.uint64(9 * (j - 1))
             held = held[first - at :] + np.uint64(k + 1)
-            contexts.append((held ^ (self.classes[first:end].astype(np.uint64) << np.uint64(56)) if classed else held) * np.uint64(PRIME))
-        data = data[first - at :]
+            contexts.append(((held ^ (self.classes[first:end].astype(np.uint64) << np.uint64(56)) if classed else held) * np.uint64(PRIME))[some])
+        data, own = data[first - at :][some], self.data[first:end][some]
         for b in range(8):
             node = (np.uint64(1 << b) | (data >> np.uint64(8 - b))) if b else np.ones(len(data), np.uint64)
-            slots = np.empty((len(ORDERS), len(data)), np.int32)
+            slots = np.empty((len(ORDERS), len(data)), np.int64)
             for k, (_, bits, _) in enumerate(ORDERS):
                 mixed = (contexts[k] ^ (node * np.uint64(0xC2B2AE3D27D4EB4F))) * np.uint64(PRIME)
                 mixed ^= mixed >> np.uint64(32)
                 slots[k] = ((mixed * np.uint64(PRIME)) >> np.uint64(64 - bits)).astype(np.int64) + FIRST[k]
-            yield (self.data[first:end] >> (7 - b)) & 1, slots
+            yield (own >> (7 - b)) & 1, slots
 
     def windows(self, size: int = 1 << 16) -> Iterator[tuple[int, int]]:
         for first in range(0, len(self.data), size):
@@ -76,39 +85,46 @@ class Spelled:
 class Prefixes:
     """Counts of the next bit after the whole word so far, among sorted words; words that share no more bits stand alone.
 
+    ``source`` gives, for each byte, the first one that follows the same bytes and is the same: what is predicted
+    of a byte depends on the word so far, so it need not be worked out again for words that begin alike.
+
     ``heads`` gives, for a word's group (words of a class with the same first bytes), the counts of all words along
     those first bytes; deeper ones are counted in the group, which is here whole.
     """
 
-    def __init__(self, text: Spelled, words: list[bytes], own: np.ndarray, group: np.ndarray, heads: list[np.ndarray]):
+    def __init__(self, text: Spelled, words: pa.Array | list[bytes], own: np.ndarray, group: np.ndarray, heads: list[np.ndarray]):
         kept = np.minimum(text.lens, DEPTH)
         self.starts = np.cumsum(kept) - kept
         self.counts = np.zeros((2, 8, int(kept.sum()) + 1), np.float32)  # the last place is for bytes beyond DEPTH
         self.where = np.where(text.place < DEPTH, np.repeat(self.starts, text.lens) + text.place, self.counts.shape[2] - 1)
         shared = self.shared_bits(text, kept, group)
-        after = np.append(shared[1:], -1)
         known = np.array([h.shape[1] // 8 for h in heads], np.int64)
         paths = np.zeros((len(heads), 2, 8 * int(known.max(initial=0))), np.float32)
         for g, h in enumerate(heads):
             paths[g, :, : h.shape[1]] = h
-        known = known[group]
+        known, self.source = known[group], np.arange(len(text.data))
         for j in range(int(kept.max(initial=0))):
             some = np.flatnonzero(kept > j)
-            byte = text.data[text.starts[some] + j]
-            at, weight = self.starts[some] + j, own[some]
+            fresh = np.flatnonzero(shared[some] < 8 * j + 8)  # the others have the byte of the word before them
+            first = some[fresh]
+            if len(first) < len(some):
+                self.source[text.starts[some] + j] = np.repeat(text.starts[first] + j, np.diff(np.append(fresh, len(some))))
+            byte = text.data[text.starts[first] + j]
+            at, weight = self.starts[first] + j, np.add.reduceat(own[some], fresh)
             for b in range(8):
                 bit = (byte >> (7 - b)) & 1
-                new = shared[some] < 8 * j + b
-                if new.all() and (after[some] < 8 * j + b).all():
+                new = shared[first] < 8 * j + b
+                if new.all():
                     zeros, ones = weight * (bit == 0), weight * bit
                 else:
                     segment = np.cumsum(new) - 1
                     ones = np.bincount(segment, weight * bit)[segment]
                     zeros = np.bincount(segment, weight)[segment] - ones
                 self.counts[0, b, at], self.counts[1, b, at] = zeros, ones
-            head = np.flatnonzero(known[some] > j)
+            head = np.flatnonzero(known[first] > j)
             if len(head):
-                self.counts[:, :, at[head]] = paths[group[some[head]], :, 8 * j : 8 * j + 8].transpose(1, 2, 0)
+                self.counts[:, :, at[head]] = paths[group[first[head]], :, 8 * j : 8 * j + 8].transpose(1, 2, 0)
+        self.where = self.where[self.source]
 
     @staticmethod
     def shared_bits(text: Spelled, kept: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -124,7 +140,10 @@ class Prefixes:
         return shared
 
     def of(self, b: int, first: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-        at = self.where[first:end]
+        return self.at(b, np.arange(first, end))
+
+    def at(self, b: int, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = self.where[some]
         return self.counts[0, b].take(at), self.counts[1, b].take(at)
 
 
@@ -207,38 +226,90 @@ class Model:
         """log10 of the probability of each word with its end."""
         total = np.ones(len(text.data))  # the probability of each byte: 8 factors of 1e-6 or more
         for first, end in text.windows():
-            for b, (bit, slots) in enumerate(text.bits(first, end)):
-                whole = prefixes.of(b, first, end)
-                gate = level(whole[0] + whole[1]).astype(np.int32) * LEVELS + self.levels.take(slots[-1] - FIRST[-2])
+            some = first + np.flatnonzero(prefixes.source[first:end] == np.arange(first, end))
+            p_of = np.ones(len(some))
+            for b, (bit, slots) in enumerate(text.bits(first, end, some - first)):
+                whole = prefixes.at(b, some)
+                gate = level(whole[0] + whole[1]).astype(np.int64) * LEVELS + self.levels.take(slots[-1] - FIRST[-2])
                 p, *_ = self.mixer.mix([*self.stretch.take(slots), stretched(*whole)], gate)
-                total[first:end] *= np.where(bit == 1, p, 1 - p)
-        return np.add.reduceat(np.log10(total), text.starts)
+                p_of *= np.where(bit == 1, p, 1 - p)
+            total[some] = p_of
+        return np.add.reduceat(np.log10(total).take(prefixes.source), text.starts)
 
     def learn(self, text: Spelled, prefixes: Prefixes, own: np.ndarray, rate: float) -> np.ndarray:
-        """Online steps of the mixer over the words, each bit predicted from counts less the one occurrence it is; their mass by cell of the refining table."""
+        """Online steps of the mixer over the words, each bit predicted from counts less the one occurrence it is; their mass by cell of the refining table.
+
+        Bytes of a window that have the same source are predicted alike, and so taken once, as often as they stand.
+        """
         mass = np.zeros((GATES, GRID))
         n = np.repeat(own, text.lens).astype(np.float64)
         for first, end in text.windows(1 << 13):
-            for b, (bit, slots) in enumerate(text.bits(first, end)):
-                one = np.vstack([self.zeros.take(slots), prefixes.of(b, first, end)[0]]) - (bit == 0)
-                two = np.vstack([self.ones.take(slots), prefixes.of(b, first, end)[1]]) - (bit == 1)
+            _, once, same = np.unique(prefixes.source[first:end], return_index=True, return_inverse=True)
+            times = np.bincount(same, n[first:end])
+            for b, (bit, slots) in enumerate(text.bits(first, end, once)):
+                whole = prefixes.at(b, first + once)
+                one = np.vstack([self.zeros.take(slots), whole[0]]) - (bit == 0)
+                two = np.vstack([self.ones.take(slots), whole[1]]) - (bit == 1)
                 one, two = np.maximum(one, 0), np.maximum(two, 0)
-                gate = level(one[-1] + two[-1]).astype(np.int32) * LEVELS + level(one[-2] + two[-2])
-                mass += self.mixer.learn(stretched(one, two), gate, bit.astype(np.float64), n[first:end], rate)
+                gate = level(one[-1] + two[-1]).astype(np.int64) * LEVELS + level(one[-2] + two[-2])
+                mass += self.mixer.learn(stretched(one, two), gate, bit.astype(np.float64), times, rate)
         return mass
 
 
+#: crc32 of each byte, by which words' crc32 are worked out side by side.
+CRC = np.array([zlib.crc32(bytes([i ^ 0xFF])) ^ 0xFF000000 for i in range(256)], np.uint32)
+
+
+def crcs(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most: int = 64) -> np.ndarray:
+    """crc32 of each word, a byte of all words at a time; of words over ``most`` bytes one by one."""
+    order = np.argsort(-sizes)
+    order = order[np.searchsorted(-sizes[order], -most) :]
+    at, crc = starts[order], np.full(len(order), 0xFFFFFFFF, np.uint32)
+    ends = np.searchsorted(-sizes[order], -np.arange(1, most + 1), side="right")
+    for j, n in enumerate(ends[ends > 0].tolist()):
+        crc[:n] = CRC.take((crc[:n] ^ data.take(at[:n] + j)) & 0xFF) ^ (crc[:n] >> 8)
+    out = np.empty(len(sizes), np.int64)
+    out[order] = ~crc
+    for i in np.flatnonzero(sizes > most).tolist():
+        out[i] = zlib.crc32(data[starts[i] : starts[i] + sizes[i]])
+    return out
+
+
+def as_strings(texts: pa.Array) -> pa.Array:
+    """Binary values as strings whose bytes nobody checks, so that Arrow's ASCII functions take them."""
+    return pa.Array.from_buffers(pa.string(), len(texts), texts.buffers(), offset=texts.offset)
+
+
 class Indexed:
     """Some texts' words as numbers: ids into their distinct words, and where each text starts."""
 
     def __init__(self, words: list[list[bytes]]):
-        self.lens = np.array([len(w) for w in words], np.int64)
-        self.starts = np.cumsum(self.lens) - self.lens
-        n, place = int(self.lens.sum()), {}
-        first = np.fromiter(map(place.setdefault, chain.from_iterable(words), range(n)), np.int64, n)  # where each word stood first
-        number = np.empty(n, np.int64)
-        number[np.fromiter(place.values(), np.int64, len(place))] = np.arange(len(place))
-        self.ids, self.distinct = number[first], list(place)
+        self.number(np.array([len(w) for w in words], np.int64), pa.array(chain.from_iterable(words), pa.binary()))
+
+    @classmethod
+    def of(cls, texts: pa.Array) -> Indexed:
+        """The tokens() of binary texts, worked out by Arrow."""
+        held = pc.ascii_trim_whitespace(pc.ascii_lower(as_strings(pc.fill_null(texts, b""))))
+        # what follows the space put behind the last word is the end; a text without words is its end
+        split = pc.ascii_split_whitespace(pc.binary_join_element_wise(held, pc.if_else(pc.equal(pc.binary_length(held), 0), "", " "), ""))
+        out = cls.__new__(cls)
+        out.number(pc.list_value_length(split).to_numpy().astype(np.int64), split.flatten())
+        return out
+
+    def number(self, lens: np.ndarray, words: pa.Array) -> None:
+        self.lens, self.starts = lens, np.cumsum(lens) - lens
+        found = words.dictionary_encode()
+        self.ids = found.indices.to_numpy().astype(np.int64)
+        _, offsets, data = found.dictionary.buffers()
+        ends = np.frombuffer(offsets, np.int32)[: len(found.dictionary) + 1].astype(np.int64)
+        self.sizes = np.diff(ends)
+        self.crc = crcs(np.frombuffer(data or b"", np.uint8), ends[:-1], self.sizes)
+        self.array = pa.Array.from_buffers(pa.binary(), len(found.dictionary), found.dictionary.buffers(), offset=found.dictionary.offset)
+
+    @cached_property
+    def distinct(self) -> list[bytes]:
+        # words hold no space
+        return joined(self.array).tobytes()[:-1].split(b" ") if len(self.sizes) else []
 
 
 #: The level of every count up to 256, where levels end.
@@ -258,10 +329,9 @@ class Followers:
     """For each word of some texts: the word that followed when the two words (or the one) before it stood last in the same text."""
 
     def __init__(self, words: Indexed):
-        place, ids, lens = words.distinct, words.ids, words.lens
-        marks = np.fromiter((zlib.crc32(t) & (HASHED - 1) for t in place), np.int64, len(place))
-        sizes = np.minimum(np.fromiter(map(len, place), np.int64, len(place)), 15) // 2
-        n, many, places = len(ids), len(place) + 1, np.arange(len(ids))
+        ids, lens = words.ids, words.lens
+        marks, sizes = words.crc & (HASHED - 1), np.minimum(words.sizes, 15) // 2
+        n, many, places = len(ids), len(words.sizes) + 1, np.arange(len(ids))
         at = places - np.repeat(words.starts, lens)
         back = [np.concatenate((np.full(j, -1), ids[:-j]))[:n] if n else ids for j in (1, 2)]
         one, two = np.where(at >= 1, back[0] + 1, 0), np.where(at >= 2, back[1] + 1, 0)
@@ -355,6 +425,18 @@ def dealt(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[int, p
         yield now, pa.Table.from_batches(held)
 
 
+def together(pieces: Iterator[tuple[int, pa.Table]], size: int = 1 << 20) -> Iterator[list[pa.Table]]:
+    """Tables that follow each other, about ``size`` bytes of text of them at a time."""
+    held = []
+    for _, table in pieces:
+        held.append(table)
+        if sum(t.nbytes for t in held) >= size:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
 def averaged(parts: list[tuple[np.ndarray, np.ndarray]], start: np.ndarray) -> np.ndarray:
     """The mean of arrays by their masses, ``start`` where none has a mass."""
     mass = sum((m for _, m in parts), np.zeros(start.shape))
@@ -377,11 +459,17 @@ def learn_repeats(docs: DataFrame, per_shard: int = 3000) -> Repeats:
         weights: list[tuple[int, list[float]]] = []
         for shard, pieces in groupby(dealt(batches, 16), key=itemgetter(0)):
             out, mass = Repeats(), np.zeros(2 * LEVELS)
-            for _, table in pieces:
-                for _, contexts, hit in Followers(Indexed([tokens(t) for t in table.column("text").to_pylist()])).questions():
-                    if len(hit):
-                        out.learn(contexts, hit)
-                        mass += np.bincount(contexts[0], minlength=len(mass))
+            for tables in together(pieces):
+                words = Indexed.of(pa.concat_tables(tables).column("text").combine_chunks())
+                ends = np.append(words.starts, len(words.ids))[np.cumsum([0] + [t.num_rows for t in tables])]
+                asked = list(Followers(words).questions())
+                for at, end in zip(ends, ends[1:], strict=False):
+                    for some, contexts, hit in asked:
+                        part = slice(*np.searchsorted(some, (at, end)))
+                        if part.stop > part.start:
+                            now = tuple(c[part] for c in contexts)
+                            out.learn(now, hit[part])
+                            mass += np.bincount(now[0], minlength=len(mass))
             total += np.rint(np.concatenate(out.tables, axis=1) - np.concatenate(Repeats().tables, axis=1)).astype(np.int64)
             weights.append((shard, [*out.weights.ravel().tolist(), *mass.tolist()]))
         cells = np.flatnonzero(total.any(axis=0))
@@ -424,7 +512,7 @@ class Classes:
         """The class of each text."""
         if len(self.priors) == 1 or not len(texts.lens):
             return [0] * len(texts.lens)
-        rows = buckets(texts.distinct)[texts.ids]
+        rows = (texts.crc & (BUCKETS - 1))[texts.ids]
         sums = [np.add.reduceat(log.take(rows), texts.starts) for log in np.ascontiguousarray(self.logs.T)]
         return (np.stack(sums, axis=1) + self.priors).argmax(axis=1).tolist()
 
@@ -443,8 +531,8 @@ def learn_classes(docs: DataFrame, most: int = 8) -> Classes:
         for batch in batches:
             for first, end in groups(batch.column("text"), 1 << 20):
                 part = batch.slice(first, end - first)
-                words = Indexed([tokens(t) for t in part.column("text").to_pylist()])
-                cells = np.repeat([place.get(x, -1) for x in part.column("lang").to_pylist()], words.lens) * BUCKETS + buckets(words.distinct)[words.ids]
+                words = Indexed.of(part.column("text"))
+                cells = np.repeat([place.get(x, -1) for x in part.column("lang").to_pylist()], words.lens) * BUCKETS + (words.crc & (BUCKETS - 1))[words.ids]
                 sums += np.bincount(cells[cells >= 0], minlength=sums.size).reshape(sums.shape)
         at = np.flatnonzero(sums.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(s[at]) for s in sums)], names=["bucket", *columns])
@@ -457,33 +545,27 @@ def learn_classes(docs: DataFrame, most: int = 8) -> Classes:
 
 def count_tokens(docs: DataFrame, classes: Classes, most: int = 200_000) -> DataFrame:
     """docs(text binary, held_out) -> token, c, z, own: every token of every class of texts that has it, with its count in all rows that are not held out and in those of the class."""
-    shared = docs.sparkSession.sparkContext.broadcast(classes)
+    shared, names = docs.sparkSession.sparkContext.broadcast(classes), ["token", "z", "c"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: list[dict[bytes, int]] = [{} for _ in classes.priors]
-        size = lambda: sum(map(len, counts))
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            for z, c in enumerate(counts):
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array([z] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())], names=["token", "z", "c"])
-                c.clear()
+    def summed(parts: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(parts).group_by(names[:2], use_threads=False).aggregate([("c", "sum")]).select([*names[:2], "c_sum"]).rename_columns(names).combine_chunks()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
         for batch in batches:
             for first, end in groups(batch.column("text"), 1 << 20):
-                words = Indexed([tokens(t) for t in batch.column("text").slice(first, end - first).to_pylist()])
-                z, many = np.repeat(shared.value.of(words), words.lens), len(words.distinct)
+                words = Indexed.of(batch.column("text").slice(first, end - first))
+                z, many = np.repeat(shared.value.of(words), words.lens), len(words.sizes)
                 learned = np.repeat(~batch.column("held_out").slice(first, end - first).to_numpy(zero_copy_only=False).astype(bool), words.lens)
                 cells = z * many + words.ids
-                there = np.bincount(cells, minlength=many * len(counts)).reshape(-1, many)
-                times = np.bincount(cells[learned], minlength=many * len(counts)).reshape(-1, many)
-                for k, c in enumerate(counts):
-                    here, get = np.flatnonzero(there[k]), c.get
-                    for i, n in zip(here.tolist(), times[k, here].tolist(), strict=True):
-                        w = words.distinct[i]
-                        c[w] = get(w, 0) + n
-                if size() > most:
-                    yield from rows()
-        yield from rows()
+                there = np.flatnonzero(np.bincount(cells))
+                times = np.bincount(cells[learned], minlength=many * len(classes.priors))[there]
+                held.append(pa.table([words.array.take(pa.array(there % many)), pa.array((there // many).astype(np.int32)), pa.array(times)], names=names))
+                if sum(map(len, held)) > 5 * most or sum(t.nbytes for t in held) > 1 << 26:
+                    held = [summed(held)]
+                    if len(held[0]) > 2 * most or held[0].nbytes > 1 << 25:
+                        yield from held.pop().to_batches()
+        yield from summed(held).to_batches() if held else []
 
     k = range(len(classes.priors))
     by_class = docs.select("text", "held_out").mapInArrow(run, "token binary, z int, c bigint").groupBy("token").agg(F.sum("c").alias("c"), *[F.sum(F.when(F.col("z") == z, F.col("c"))).alias(f"c{z}") for z in k])
@@ -499,7 +581,7 @@ def count_slots(vocabulary: DataFrame, words: int, per_task: int = 500_000) -> t
         for batch in batches:
             for at in range(0, batch.num_rows, 1 << 13):
                 part = batch.slice(at, 1 << 13)
-                text = Spelled(part.column("token").to_pylist(), part.column("z").to_numpy())
+                text = Spelled(part.column("token"), part.column("z").to_numpy())
                 n = np.repeat(part.column("own").to_numpy(), text.lens).astype(np.float64)
                 for first, end in text.windows():
                     for bit, slots in text.bits(first, end):
@@ -555,18 +637,22 @@ def head_counts(rows: list[tuple[int, bytes, float]]) -> dict[tuple[int, bytes],
     text.data[text.starts + text.lens - 1] = [h[-1] for h in heads]
     group = np.cumsum(np.append(0, np.diff(z) != 0))
     counted = Prefixes(text, heads, np.array(own), group, [np.zeros((2, 0), np.float32)] * (int(group[-1]) + 1))
-    return {(a, h): counted.counts[:, :, at : at + len(h)].transpose(0, 2, 1).reshape(2, -1).copy() for a, h, at in zip(z, heads, counted.starts.tolist(), strict=True)}
+    return {(a, h): counted.counts[:, :, counted.where[at : at + len(h)]].transpose(0, 2, 1).reshape(2, -1).copy() for a, h, at in zip(z, heads, text.starts.tolist(), strict=True)}
 
 
 def grouped(batches: Iterator[pa.RecordBatch], heads: dict[tuple[int, bytes], np.ndarray], size: int = 1 << 19) -> Iterator[tuple[pa.Table, Spelled, Prefixes]]:
     """Whole groups of words, of about ``size`` bytes at a time, from batches in the order of (z, head, token)."""
 
+    none = np.zeros((2, 0), np.float32)
+
     def of(table: pa.Table) -> tuple[pa.Table, Spelled, Prefixes]:
-        words, z, keys = table.column("token").to_pylist(), table.column("z").to_numpy(), table.column("head").to_pylist()
-        text, at = Spelled(words, z), {}
-        group = np.array([at.setdefault(k, len(at)) for k in zip(z.tolist(), keys, strict=True)])
-        none = np.zeros((2, 0), np.float32)
-        return table, text, Prefixes(text, words, table.column("own").to_numpy().astype(np.float64), group, [heads.get(k, none) for k in at])
+        table = table.combine_chunks()
+        words, z, keys = (table.column(c).combine_chunks() for c in ("token", "z", "head"))
+        text, head = Spelled(words, z.to_numpy()), keys.dictionary_encode().indices.to_numpy()
+        new = np.append(True, (np.diff(z.to_numpy()) != 0) | (np.diff(head) != 0))  # equal ones are neighbours
+        at = pa.array(np.flatnonzero(new))
+        counts = [heads.get(k, none) for k in zip(z.take(at).to_pylist(), keys.take(at).to_pylist(), strict=True)]
+        return table, text, Prefixes(text, words, table.column("own").to_numpy().astype(np.float64), np.cumsum(new) - 1, counts)
 
     held, got = [], 0
     for batch in batches:
@@ -577,10 +663,9 @@ def grouped(batches: Iterator[pa.RecordBatch], heads: dict[tuple[int, bytes], np
             if got < size:
                 continue
             table = pa.Table.from_batches(held)
-            z, keys = table.column("z").to_pylist(), table.column("head").to_pylist()
-            end = table.num_rows
-            while end and (z[end - 1], keys[end - 1]) == (z[-1], keys[-1]):  # the last group may go on
-                end -= 1
+            z, keys = table.column("z"), table.column("head")
+            other = pc.or_(pc.not_equal(z, z[-1]), pc.not_equal(keys, keys[-1])).to_numpy()
+            end = int(np.flatnonzero(other).max(initial=-1)) + 1  # the last group may go on
             if end:
                 yield of(table.slice(0, end))
             held, got = table.slice(end).to_batches(), 0 if end else got
@@ -685,28 +770,28 @@ def scored(docs: DataFrame, most_common: int = 1 << 17) -> DataFrame:
         for batch in batches:
             for first, end in groups(batch.column("text"), 1 << 20):
                 part = batch.slice(first, end - first)
-                words = Indexed([tokens(t) for t in part.column("text").to_pylist()])
+                words = Indexed.of(part.column("text"))
                 z, followers = np.array(classes.of(words), np.int64), Followers(words)
                 told, left = np.zeros(len(words.ids)), np.ones(len(words.ids), bool)
                 for some, contexts, hit in followers.questions():
                     p = repeats.probability(contexts)
                     told[some] += np.log10(np.where(hit, p, 1 - p))
                     left[some[hit]] = False
-                rows = np.array([place.get(t, len(logs) - 1) for t in words.distinct], np.int64)[words.ids]
+                rows = np.fromiter((place.get(t, len(logs) - 1) for t in words.distinct), np.int64, len(words.sizes))[words.ids]
                 spelled = cost[rows, np.repeat(z, words.lens)].astype(np.float64)
                 here = ~np.isnan(spelled)
-                sizes = np.fromiter(map(len, words.distinct), np.int64, len(words.distinct))[words.ids] + 1
+                sizes = words.sizes[words.ids] + 1
                 add = lambda x: np.add.reduceat(x, words.starts) if len(words.ids) else x[:0]
                 whole = [words.lens, 0 * words.lens, add(np.where(here, logs[rows], 0)), add(here.astype(np.int64)), add(told + np.where(here & left, spelled, 0)) + classes.priors[z] / math.log(10), add(sizes)]
                 # words that the table hasn't: one row for each text and word
                 rare = np.flatnonzero(~here)
-                pair, inverse = np.unique(np.repeat(np.arange(len(z)), words.lens)[rare] * (len(words.distinct) + 1) + words.ids[rare], return_inverse=True)
-                text, word = pair // (len(words.distinct) + 1), pair % (len(words.distinct) + 1)
+                pair, inverse = np.unique(np.repeat(np.arange(len(z)), words.lens)[rare] * (len(words.sizes) + 1) + words.ids[rare], return_inverse=True)
+                text, word = pair // (len(words.sizes) + 1), pair % (len(words.sizes) + 1)
                 times, bare = np.bincount(inverse, minlength=len(pair)), np.bincount(inverse, left[rare], len(pair)).astype(np.int64)
                 none = np.zeros(len(pair))
                 more = [times, bare, none, none.astype(np.int64), none, none.astype(np.int64)]
                 taken = pa.array(np.concatenate((np.arange(len(z)), text)))
-                token = pa.array([None] * len(z) + [words.distinct[i] for i in word.tolist()], pa.binary())
+                token = pa.concat_arrays([pa.nulls(len(z), pa.binary()), words.array.take(pa.array(word))])
                 columns = [pa.array(np.concatenate(x), kind) for x, kind in zip(zip(whole, more, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.int64()), strict=True)]
                 names = ["rid", "doc_id", "held_out", "token", "z", "n", "m", "base", "known", "model", "size"]
                 yield pa.RecordBatch.from_arrays([*(part.column(c).take(taken) for c in names[:3]), token, pa.array(np.concatenate((z, z[text])), pa.int32()), *columns], names=names)
