@@ -425,7 +425,7 @@ def dealt(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[int, p
         yield now, pa.Table.from_batches(held)
 
 
-def together(pieces: Iterator[tuple[int, pa.Table]], size: int = 1 << 20) -> Iterator[list[pa.Table]]:
+def together(pieces: Iterator[tuple[int, pa.Table]], size: int = 1 << 18) -> Iterator[list[pa.Table]]:
     """Tables that follow each other, about ``size`` bytes of text of them at a time."""
     held = []
     for _, table in pieces:
@@ -561,9 +561,9 @@ def count_tokens(docs: DataFrame, classes: Classes, most: int = 200_000) -> Data
                 there = np.flatnonzero(np.bincount(cells))
                 times = np.bincount(cells[learned], minlength=many * len(classes.priors))[there]
                 held.append(pa.table([words.array.take(pa.array(there % many)), pa.array((there // many).astype(np.int32)), pa.array(times)], names=names))
-                if sum(map(len, held)) > 5 * most or sum(t.nbytes for t in held) > 1 << 26:
+                if sum(map(len, held)) > 2 * most or sum(t.nbytes for t in held) > 1 << 25:
                     held = [summed(held)]
-                    if len(held[0]) > 2 * most or held[0].nbytes > 1 << 25:
+                    if len(held[0]) > most or held[0].nbytes > 1 << 24:
                         yield from held.pop().to_batches()
         yield from summed(held).to_batches() if held else []
 
